@@ -90,10 +90,26 @@ def shared_anchors(docs: DataFrame, windows: Windows, across: bool, n: int) -> D
         keep = kinds[head] > 1
         return pa.Table.from_batches([marks_batch([(i, np.unique(x)) for i, (x,) in by_id(d[keep], h[keep])])])
 
-    entries = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, PACKED)
+    entries = identified(docs).mapInArrow(emit, PACKED)
     return gathered(entries.groupBy("bucket").applyInArrow(judge, MARKS))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the rows that have a doc_id."""
+    plain = dict(docs.dtypes)["doc_id"] == "bigint"  # even a cast to the same type would keep plans apart
+    return docs.where("doc_id is not null").select("doc_id" if plain else F.col("doc_id").cast("long"), "text")
+
+
+def with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text and marks of all rows.
+
+    The texts are selected just as for the first join with marks, so that Spark shuffles them once
+    and reads that shuffle twice.
+    """
+    rest = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text", F.lit(None).cast("array<binary>").alias("marks"))
+    return identified(docs).join(found, "doc_id", "left").select("doc_id", "text", "marks").unionByName(rest)
+
+
 def mark_keys(lists: pa.Array, lo: int, hi: int) -> np.ndarray:
     """Keys (text, mark) of the marks of texts lo to hi."""
     out = []
@@ -116,7 +132,6 @@ def drop_repeated_words(docs: DataFrame, width: int = 13) -> DataFrame:
     """
     gram = -(-width // 2)
     windows, n = word_windows(width, gram), buckets_for(docs)
-    marked = docs.select(F.col("doc_id").cast("long"), "text")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,6 +181,6 @@ def drop_repeated_words(docs: DataFrame, width: int = 13) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     first = shared_anchors(docs, windows, True, n)
-    entries = marked.join(first, "doc_id").select("doc_id", "text", "marks").mapInArrow(extend, PACKED)
+    entries = identified(docs).join(first, "doc_id").select("doc_id", "text", "marks").mapInArrow(extend, PACKED)
     found = gathered(entries.groupBy("bucket").applyInArrow(judge, MARKS))
-    return marked.join(found, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return with_marks(docs, found).mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -17,14 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from galvane.llm.common import PACKED, U64, _BASE, _TABLE, buckets_for, by_id, chunks, column_bytes, mix, prefix_hash, span
-from galvane.llm.repeats import MARKS, byte_windows, gathered, keyed, mark_keys, marks_batch, owner, shared_anchors
+from galvane.llm.repeats import MARKS, byte_windows, gathered, identified, keyed, mark_keys, marks_batch, owner, shared_anchors, with_marks
 from galvane.llm.suffixes import suffix_order
 
 SHARD_BYTES = 16 << 20
-REPLY = "doc_id bigint, marks binary"
 
 
 def stretches(part: np.ndarray, poff: np.ndarray, keys: np.ndarray, windows, width: int):
@@ -58,7 +57,6 @@ def repeated_windows(docs: DataFrame, width: int = 100, gram: int = 50) -> DataF
     """(doc_id, marks): for each document, runs (first, last) of windows that also start earlier."""
     windows = byte_windows(width, gram)
     n, shards = buckets_for(docs), buckets_for(docs, each=SHARD_BYTES)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +128,7 @@ def repeated_windows(docs: DataFrame, width: int = 100, gram: int = 50) -> DataF
         return pa.Table.from_batches([marks_batch(rows)])
 
     first = shared_anchors(docs, windows, False, n)
-    entries = texts.join(first, "doc_id").select("doc_id", "text", "marks").mapInArrow(emit, PACKED)
+    entries = identified(docs).join(first, "doc_id").select("doc_id", "text", "marks").mapInArrow(emit, PACKED)
     return gathered(entries.groupBy("bucket").applyInArrow(judge, MARKS))
 
 
@@ -159,6 +157,4 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 100, gram: int = 50) -> Da
             cols = [pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    found = repeated_windows(docs, width, gram)
-    return texts.join(found, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return with_marks(docs, repeated_windows(docs, width, gram)).mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
