@@ -23,7 +23,8 @@ from galvane.llm.common import PACKED, U64, _BASE, _TABLE, buckets_for, by_id, c
 from galvane.llm.repeats import MARKS, byte_windows, gathered, identified, keyed, mark_keys, marks_batch, owner, shared_anchors, with_marks
 from galvane.llm.suffixes import suffix_order
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
+SORT_BYTES = 1 << 20
 
 
 def stretches(part: np.ndarray, poff: np.ndarray, keys: np.ndarray, windows, width: int):
@@ -53,6 +54,16 @@ def shard_blob(h, content, first, length, ids, start):
     return h[one], first[one], length[one], number.astype(np.int32), ids, start
 
 
+def blocks(group: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Runs of whole groups of about SORT_BYTES: equal strings are always in one group."""
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)) if len(group) else []
+    total, a = np.concatenate([[0], np.cumsum(size)]), 0
+    for i, b in enumerate(ends):
+        if i + 1 == len(ends) or total[ends[i + 1]] - total[a] > SORT_BYTES:
+            yield slice(a, int(b))
+            a = int(b)
+
+
 def repeated_windows(docs: DataFrame, width: int = 100, gram: int = 50) -> DataFrame:
     """(doc_id, marks): for each document, runs (first, last) of windows that also start earlier."""
     windows = byte_windows(width, gram)
@@ -107,16 +118,20 @@ def repeated_windows(docs: DataFrame, width: int = 100, gram: int = 50) -> DataF
         out = [(ids[rest], starts[rest], starts[rest] + size[kind[rest]] - width)]
         _, group, many = np.unique(heads, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(many[group] > 1)
-        if len(mixed):
-            off = np.concatenate([[0], np.cumsum(size[mixed])])
-            at, common = suffix_order(np.frombuffer(b"".join(contents[k] for k in mixed), np.uint8), width)
-            piece = np.searchsorted(off, at, "right") - 1
+        mixed = mixed[np.argsort(group[mixed], kind="stable")]
+        for part in blocks(group[mixed], size[mixed]):
+            kinds_ = mixed[part]
+            off = np.concatenate([[0], np.cumsum(size[kinds_])])
+            at, common = suffix_order(np.frombuffer(b"".join(contents[k] for k in kinds_), np.uint8), width)
             run = np.cumsum(common < width)  # suffixes with one first string
+            many_ = np.bincount(run)[run] > 1
+            at, run = at[many_], run[many_]
+            piece = np.searchsorted(off, at, "right") - 1
             whole = off[piece + 1] - at >= width
             at, piece, run = at[whole], piece[whole], run[whole]
-            d, s = ids[one[mixed[piece]]], starts[one[mixed[piece]]] + at - off[piece]
+            d, s = ids[one[kinds_[piece]]], starts[one[kinds_[piece]]] + at - off[piece]
             order = np.lexsort((s, d, run))
-            later = order[np.concatenate([[False], run[order][1:] == run[order][:-1]])]
+            later = order[np.concatenate([[False], run[order][1:] == run[order][:-1]])] if len(order) else order
             out.append((d[later], s[later], s[later]))
         d, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
         rows = []

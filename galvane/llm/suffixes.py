@@ -71,10 +71,11 @@ class _Least:
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty(len(a), np.uint8)
-        level = np.frexp((b - a).astype(float))[1] - 1
-        for k in np.unique(level):
-            here = level == k
-            out[here] = np.minimum(self.levels[k][a[here]], self.levels[k][b[here] - (1 << int(k))])
+        level = (np.frexp((b - a).astype(np.float64))[1] - 1).astype(np.int8)
+        for k in np.flatnonzero(np.bincount(level)):
+            here = np.flatnonzero(level == k)
+            low = self.levels[k]
+            out[here] = np.minimum(low[a[here]], low[b[here] - (1 << int(k))])
         return out
 
 
