@@ -82,22 +82,27 @@ def filtered(x: np.ndarray, p: np.ndarray, seen: np.ndarray, dt: float) -> tuple
     return x + k @ (seen - h @ x), (np.eye(4) - k @ h) @ p
 
 
-def suppress(rows: pd.DataFrame, minutes: float = 45.0) -> pd.DataFrame:
-    """Which alerts of one key go out: the newest earlier one that went out within the window suppresses,
-    unless the stage rose; then the new one supersedes it. rows: o_orderkey, minute, stage."""
-    out, sent = [], []
-    for r in rows.sort_values(["minute", "o_orderkey"]).itertuples():
-        before = next(((m, s, k) for m, s, k in reversed(sent) if r.minute - m < minutes), None)
-        if before is None:
-            verdict, old = "alert", None
-        elif r.stage > before[1]:
-            verdict, old = "update", before[2]
-        else:
-            verdict, old = "suppressed", None
-        if verdict != "suppressed":
-            sent.append((r.minute, r.stage, r.o_orderkey))
-        out.append((r.o_orderkey, verdict, old))
-    return pd.DataFrame(out, columns=["o_orderkey", "verdict", "supersedes"]).astype({"supersedes": "Int64"})
+class Suppressor:
+    """Which alerts go out, for rows sorted by key and time: of the earlier ones of the key that went
+    out, the newest within the window suppresses, unless the stage rose; then the new one supersedes it.
+
+    rows: cell, preset, o_orderkey, minute, stage. Only the last one sent of the current key is held.
+    """
+
+    def __init__(self, minutes: float = 45.0):
+        self.minutes, self.key, self.sent = minutes, None, None
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples():
+            if (r.cell, r.preset) != self.key:
+                self.key, self.sent = (r.cell, r.preset), None
+            old = self.sent if self.sent is not None and r.minute - self.sent[0] < self.minutes else None
+            verdict = "alert" if old is None else "update" if r.stage > old[1] else "suppressed"
+            if verdict != "suppressed":
+                self.sent = (r.minute, r.stage, r.o_orderkey)
+            out.append((r.o_orderkey, verdict, old[2] if verdict == "update" else None))
+        return pd.DataFrame(out, columns=["o_orderkey", "verdict", "supersedes"]).astype({"supersedes": "Int64"})
 
 
 def pava(score: np.ndarray, weight: np.ndarray, mean: np.ndarray) -> tuple[list[float], list[float]]:

@@ -107,3 +107,7 @@ relational("point_in_block", "SELECT f.event_id, count(*) AS blocks, min(b.s_sup
 relational("bulletin", "SELECT CAST(floor(minute / 1440) AS BIGINT) AS day, count(*) AS alerts, count(DISTINCT cell) AS cells, max(CASE WHEN p >= 0.7D THEN 3 WHEN p >= 0.5D THEN 2 WHEN p >= 0.25D THEN 1 ELSE 0 END) AS stage FROM {v_alert} GROUP BY 1")
 relational("cap_polygon", "SELECT s_suppkey, concat_ws(' ', concat(CAST(CAST(round(lat0 * 10) AS INT) AS STRING), ',', CAST(CAST(round(lon0 * 10) AS INT) AS STRING)), concat(CAST(CAST(round(lat1 * 10) AS INT) AS STRING), ',', CAST(CAST(round(lon1 * 10) AS INT) AS STRING)), concat(CAST(CAST(round(lat0 * 10) AS INT) AS STRING), ',', CAST(CAST(round(lon0 * 10) AS INT) AS STRING))) AS ring FROM {v_block}")
 relational("event_split", "WITH u AS (SELECT DISTINCT user_id FROM {v_obs}), r AS (SELECT user_id, row_number() OVER (ORDER BY user_id * 7919 % 1009, user_id) AS k, count(*) OVER () AS n FROM u) SELECT user_id, CASE WHEN k <= 0.7D * n THEN 'train' WHEN k <= 0.85D * n THEN 'calibrate' ELSE 'test' END AS part FROM r")
+# Weak updraft energy and a strong cap reduce a probability, organised shear raises it a little; missing inputs leave it be.
+relational("thermo_gating", """WITH x AS (SELECT event_id, CASE WHEN station = 7 THEN NULL ELSE value * 10 END AS cape, user_id * 3D AS cin, station * 4D AS shear FROM {v_obs} WHERE modality = 'model')
+SELECT event_id, round(least(greatest(CASE WHEN cape IS NULL THEN 1D ELSE least(greatest(cape / 1000, 0.1D), 1D) END * CASE WHEN cin > 200 THEN least(greatest(1 - (cin - 200) / 200, 0.1D), 1D) ELSE 1D END
+  * CASE WHEN shear >= 15 THEN least(greatest(1 + 0.1D * ((shear - 15) / 10), 1D), 1.2D) ELSE 1D END, 0.1D), 1D), 10) AS gamma FROM x""")

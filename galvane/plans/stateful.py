@@ -51,10 +51,14 @@ def alert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.when(p >= 0.7, 3).when(p >= 0.5, 2).when(p >= 0.25, 1).otherwise(0)
     rows = views.v_alert(spark, sf_dir).withColumn("stage", stage).where("stage > 0").select("cell", "preset", "o_orderkey", "minute", "stage")
 
-    def one(key, rows):
-        return kernels.suppress(rows, 45.0 * 1440)  # the table's days stand for minutes
-
-    return rows.groupBy("cell", "preset").applyInPandas(one, "o_orderkey bigint, verdict string, supersedes bigint")
+    def walk(batches):
+        state = kernels.Suppressor(45.0 * 1440)  # the table's days stand for minutes
+        for rows in batches:
+            yield state.feed(rows)
+
+    keys = ("cell", "preset")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "minute", "o_orderkey")
+    return dealt.mapInPandas(walk, "o_orderkey bigint, verdict string, supersedes bigint")
 
 
 @query("isotonic_fit")

@@ -37,8 +37,8 @@ def test_tracker_keeps_and_renews_ids():
 
 
 def test_suppression_and_escalation():
-    rows = pd.DataFrame({"o_orderkey": [1, 2, 3, 4], "minute": [0.0, 15.0, 25.0, 80.0], "stage": [2, 2, 3, 1]})
-    assert kernels.suppress(rows).verdict.tolist() == ["alert", "suppressed", "update", "alert"]
+    rows = pd.DataFrame({"cell": 1, "preset": "x", "o_orderkey": [1, 2, 3, 4], "minute": [0.0, 15.0, 25.0, 80.0], "stage": [2, 2, 3, 1]})
+    assert kernels.Suppressor().feed(rows).verdict.tolist() == ["alert", "suppressed", "update", "alert"]
 
 
 def test_stream_buffer(spark, tmp_path):
