@@ -117,22 +117,28 @@ def _mask(gram: Column | str, n: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << 8 * n) - 1)) if isinstance(gram, str) else gram.bitwiseAND(F.lit((1 << 8 * n) - 1))
 
 
+def discounts(level: DataFrame) -> list[float]:
+    """What is taken off counts of 1, 2, and 3 or more: from how many grams of the level have counts 1 to 4."""
+    n = [0, *level.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.0
+    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) if n[k] else 0.1 for k in (1, 2, 3)]
+
+
 def model_costs(counts: DataFrame) -> DataFrame:
-    """gram, cost: -ln of the interpolated probability of every gram in counts (gram, n)."""
-    wanted = counts.groupBy("gram").agg(F.sum("n").alias("c"))
+    """gram, cost: -ln of the interpolated probability of every gram in counts (gram, n).
+
+    Each order's counts are written once, since four later steps read them.
+    """
+    wanted = written(counts.groupBy("gram").agg(F.sum("n").alias("c")), "order")
     levels = {ORDER: wanted.where("c > 0")}
     for n in range(ORDER - 1, 0, -1):  # numbers of distinct left neighbours
-        levels[n] = levels[n + 1].groupBy(_mask("gram", n).alias("gram")).agg(F.count("*").alias("c"))
+        levels[n] = written(levels[n + 1].groupBy(_mask("gram", n).alias("gram")).agg(F.count("*").alias("c")), "order")
     out = wanted.select("gram", F.lit(1 / 256).alias("p"))
     for n in range(1, ORDER + 1):
-        level = levels[n].select("gram", "c", F.shiftright("gram", 8).alias("context"), F.lit(n).alias("level"))
-        many = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        of = level.groupBy("level").agg(*many)
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        discount = [F.coalesce(F.least(F.greatest(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.1)), F.lit(k - 0.1)), F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
-        level = level.join(F.broadcast(of.select("level", *discount)), "level")  # one row
-        level = level.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        contexts = level.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("rest"))
+        d1, d2, d3 = discounts(levels[n])
+        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        level = levels[n].select("gram", "c", F.shiftright("gram", 8).alias("context"), off.alias("d"))
+        contexts = written(level.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("rest")), "contexts")
         seen = level.join(contexts.select("context", "total"), "context").select(F.col("gram").alias("seen"), ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
         key = F.shiftright(_mask("gram", n), 8)
         out = (
