@@ -98,9 +98,9 @@ relational("topk_events", "SELECT user_id, n, rank FROM (SELECT user_id, n, row_
 relational("modality_intersect", "SELECT user_id FROM {v_obs} WHERE modality = 'radar' INTERSECT SELECT user_id FROM {v_obs} WHERE modality = 'lightning' INTERSECT SELECT user_id FROM {v_obs} WHERE modality = 'satellite'")
 relational("buffer_upsert", "SELECT modality, station, cycle, value FROM (SELECT *, row_number() OVER (PARTITION BY modality, station, cycle ORDER BY event_id DESC) AS k FROM {v_obs}) WHERE k = 1")
 relational("buffer_retention", "WITH m AS (SELECT *, max(s) OVER (PARTITION BY modality) AS top, row_number() OVER (PARTITION BY modality ORDER BY s DESC, event_id DESC) AS k FROM {v_obs}) SELECT modality, event_id, s FROM m WHERE s >= top - 14400 AND k <= 50")
-relational("preset_stage", "SELECT o_orderkey, CASE WHEN p >= 0.7D THEN 'RED' WHEN p >= CASE WHEN preset = 'protective' THEN 0.35D ELSE 0.5D END THEN 'ORANGE' WHEN p >= 0.25D THEN 'YELLOW' ELSE 'GREEN' END AS stage FROM {v_alert}")
-relational("imd_colour", "SELECT CASE WHEN p >= 0.6D THEN 'RED' WHEN p >= 0.4D THEN 'ORANGE' WHEN p >= 0.2D THEN 'YELLOW' ELSE 'GREEN' END AS colour, preset, count(*) AS n FROM {v_alert} GROUP BY 1, 2")
-relational("severity_impact", "SELECT s_suppkey, round(log10(population + 1.0D) / log10(100001.0D), 6) AS exposure FROM {v_block}")
+relational("preset_stage", "SELECT o_orderkey, CASE WHEN p >= CASE preset WHEN 'protective' THEN 0.6D ELSE 0.7D END THEN 'RED' WHEN p >= CASE preset WHEN 'protective' THEN 0.3D ELSE 0.5D END THEN 'ORANGE' WHEN p >= CASE preset WHEN 'protective' THEN 0.15D ELSE 0.2D END THEN 'YELLOW' ELSE 'GREEN' END AS stage FROM {v_alert}")
+relational("imd_colour", "SELECT CASE WHEN p >= 0.75D AND cell % 3 = 0 THEN 'RED' WHEN p >= 0.5D THEN 'ORANGE' WHEN p >= 0.2D THEN 'YELLOW' ELSE 'GREEN' END AS colour, preset, count(*) AS n FROM {v_alert} GROUP BY 1, 2")
+relational("severity_impact", "SELECT s_suppkey, round(CASE WHEN population <= 0 THEN 0D ELSE least(log10(population + 1.0D) / log10(500001.0D), 1D) END, 6) AS exposure FROM {v_block}")
 relational("exposure_rollup", "SELECT state, district, sum(population) AS population, count(*) AS blocks FROM {v_block} GROUP BY ROLLUP (state, district)")
 relational("block_overlap", "SELECT c.cycle, c.i, c.j, b.s_suppkey, round((least(b.lat1, c.lat + 0.05D) - greatest(b.lat0, c.lat - 0.05D)) * (least(b.lon1, c.lon + 0.05D) - greatest(b.lon0, c.lon - 0.05D)) / 0.01D, 4) AS fraction FROM {v_storm} c JOIN {v_block} b ON b.lat0 < c.lat + 0.0499D AND b.lat1 > c.lat - 0.0499D AND b.lon0 < c.lon + 0.0499D AND b.lon1 > c.lon - 0.0499D")
 relational("point_in_block", "SELECT f.event_id, count(*) AS blocks, min(b.s_suppkey) AS first_block FROM {v_flash} f JOIN {v_block} b ON f.lat > b.lat0 + 0.001D AND f.lat < b.lat1 + 0.001D AND f.lon > b.lon0 + 0.001D AND f.lon < b.lon1 + 0.001D GROUP BY f.event_id")

@@ -15,7 +15,7 @@ SOME = ["nowcast_verification", "flash_counts_10_20_30", "roc_auc", "reliability
 
 def text(df):
     cols = sorted(df.columns)
-    f = lambda v: None if v is None or v != v else f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float, np.number)) else str(v)
+    f = lambda v: None if pd.isna(v) else f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float, np.number)) else str(v)
     return sorted([tuple(f(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)], key=str)
 
 
