@@ -31,6 +31,25 @@ def cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("area"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).where("area >= 2")
 
 
+CORES_SQL = f"""WITH b AS ({CC_SQL}), k AS ({CC_SQL.replace("value >= 60", "value >= 200")}),
+c AS (SELECT b.frame, b.label, k.label AS core, avg(b.i) AS ci, avg(b.j) AS cj FROM b JOIN k ON b.frame = k.frame AND b.i = k.i AND b.j = k.j GROUP BY ALL HAVING count(*) >= 2),
+m AS (SELECT *, count(*) OVER (PARTITION BY frame, label) AS cores FROM c),
+d AS (SELECT b.*, coalesce(core, 0) AS core, row_number() OVER (PARTITION BY b.frame, b.i, b.j ORDER BY round(pow(b.i - ci, 2) + pow(b.j - cj, 2), 9), core) AS nth FROM b LEFT JOIN m ON m.frame = b.frame AND m.label = b.label AND cores >= 2)
+SELECT frame, i, j, label, CAST(core AS INT) AS core FROM d WHERE nth = 1"""
+
+
+@query("watershed_cores", CORES_SQL)
+def watershed_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with two or more strong cores: each pixel goes to its nearest core; others have core 0."""
+    base, strong = components(spark, sf_dir), components(spark, sf_dir, 200.0).withColumnRenamed("label", "core")
+    by = base.join(strong, ["frame", "i", "j"]).groupBy("frame", "label", "core")
+    cores = by.agg(F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.count("*").alias("n")).where("n >= 2")
+    several = cores.withColumn("cores", F.count("*").over(Window.partitionBy("frame", "label"))).where("cores >= 2")
+    far = F.round((F.col("i") - F.col("ci")) ** 2 + (F.col("j") - F.col("cj")) ** 2, 9)
+    near = base.join(several, ["frame", "label"], "left").groupBy("frame", "i", "j", "label").agg(F.min_by("core", F.struct(far, "core")).alias("core"))
+    return near.select("frame", "i", "j", "label", F.coalesce("core", F.lit(0)).alias("core"))
+
+
 @query("track_cells")
 def track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Storm cells of each day as one event, tracked over its cycles."""
