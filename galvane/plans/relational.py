@@ -94,10 +94,10 @@ relational("lifecycle", f"WITH t AS ({TRACK}) SELECT track, b, CASE WHEN k = 1 T
 relational("growth_10", "SELECT track, b, area, max(area) OVER (PARTITION BY track ORDER BY b RANGE BETWEEN 4 PRECEDING AND 2 PRECEDING) AS area_before FROM {v_cell}")
 relational("sliding_60_10", "WITH k AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) AS t(k)) SELECT cycle + k AS window_end, modality, count(*) AS n, round(max(value), 6) AS top FROM {v_obs}, k GROUP BY cycle + k, modality")
 relational("jump_5min_bins", "WITH b AS (SELECT i, j, CAST(floor(s / 300) AS BIGINT) AS b, count(*) AS n FROM {v_flash} GROUP BY 1, 2, 3) SELECT i, j, b, n, round(avg(n) OVER w, 6) AS mean8, round(stddev_pop(n) OVER w, 6) AS sd8 FROM b WINDOW w AS (PARTITION BY i, j ORDER BY b ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING)")
-relational("topk_events", "SELECT user_id, n, rank FROM (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id DESC) AS rank FROM (SELECT user_id, count(*) AS n FROM {v_obs} WHERE modality = 'lightning' GROUP BY user_id)) WHERE rank <= 12")
+relational("topk_events", "SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id DESC) AS rank FROM (SELECT user_id, count(*) AS n FROM {v_obs} WHERE modality = 'lightning' GROUP BY user_id ORDER BY n DESC, user_id DESC LIMIT 12) t")
 relational("modality_intersect", "SELECT user_id FROM {v_obs} WHERE modality = 'radar' INTERSECT SELECT user_id FROM {v_obs} WHERE modality = 'lightning' INTERSECT SELECT user_id FROM {v_obs} WHERE modality = 'satellite'")
 relational("buffer_upsert", "SELECT modality, station, cycle, value FROM (SELECT *, row_number() OVER (PARTITION BY modality, station, cycle ORDER BY event_id DESC) AS k FROM {v_obs}) WHERE k = 1")
-relational("buffer_retention", "WITH m AS (SELECT *, max(s) OVER (PARTITION BY modality) AS top, row_number() OVER (PARTITION BY modality ORDER BY s DESC, event_id DESC) AS k FROM {v_obs}) SELECT modality, event_id, s FROM m WHERE s >= top - 14400 AND k <= 50")
+relational("buffer_retention", "WITH t AS (SELECT modality AS m, max(s) AS top FROM {v_obs} GROUP BY modality), r AS (SELECT modality, event_id, s, row_number() OVER (PARTITION BY modality ORDER BY s DESC, event_id DESC) AS k FROM {v_obs} JOIN t ON modality = m WHERE s >= top - 14400) SELECT modality, event_id, s FROM r WHERE k <= 50")
 relational("preset_stage", "SELECT o_orderkey, CASE WHEN p >= CASE preset WHEN 'protective' THEN 0.6D ELSE 0.7D END THEN 'RED' WHEN p >= CASE preset WHEN 'protective' THEN 0.3D ELSE 0.5D END THEN 'ORANGE' WHEN p >= CASE preset WHEN 'protective' THEN 0.15D ELSE 0.2D END THEN 'YELLOW' ELSE 'GREEN' END AS stage FROM {v_alert}")
 relational("imd_colour", "SELECT CASE WHEN p >= 0.75D AND cell % 3 = 0 THEN 'RED' WHEN p >= 0.5D THEN 'ORANGE' WHEN p >= 0.2D THEN 'YELLOW' ELSE 'GREEN' END AS colour, preset, count(*) AS n FROM {v_alert} GROUP BY 1, 2")
 relational("severity_impact", "SELECT s_suppkey, round(CASE WHEN population <= 0 THEN 0D ELSE least(log10(population + 1.0D) / log10(500001.0D), 1D) END, 6) AS exposure FROM {v_block}")
@@ -106,7 +106,9 @@ relational("block_overlap", "SELECT c.cycle, c.i, c.j, b.s_suppkey, round((least
 relational("point_in_block", "SELECT f.event_id, count(*) AS blocks, min(b.s_suppkey) AS first_block FROM {v_flash} f JOIN {v_block} b ON f.lat > b.lat0 + 0.001D AND f.lat < b.lat1 + 0.001D AND f.lon > b.lon0 + 0.001D AND f.lon < b.lon1 + 0.001D GROUP BY f.event_id")
 relational("bulletin", "SELECT CAST(floor(minute / 1440) AS BIGINT) AS day, count(*) AS alerts, count(DISTINCT cell) AS cells, max(CASE WHEN p >= 0.7D THEN 3 WHEN p >= 0.5D THEN 2 WHEN p >= 0.25D THEN 1 ELSE 0 END) AS stage FROM {v_alert} GROUP BY 1")
 relational("cap_polygon", "SELECT s_suppkey, concat_ws(' ', concat(CAST(CAST(round(lat0 * 10) AS INT) AS STRING), ',', CAST(CAST(round(lon0 * 10) AS INT) AS STRING)), concat(CAST(CAST(round(lat1 * 10) AS INT) AS STRING), ',', CAST(CAST(round(lon1 * 10) AS INT) AS STRING)), concat(CAST(CAST(round(lat0 * 10) AS INT) AS STRING), ',', CAST(CAST(round(lon0 * 10) AS INT) AS STRING))) AS ring FROM {v_block}")
-relational("event_split", "WITH u AS (SELECT DISTINCT user_id FROM {v_obs}), r AS (SELECT user_id, row_number() OVER (ORDER BY user_id * 7919 % 1009, user_id) AS k, count(*) OVER () AS n FROM u) SELECT user_id, CASE WHEN k <= 0.7D * n THEN 'train' WHEN k <= 0.85D * n THEN 'calibrate' ELSE 'test' END AS part FROM r")
+# The rank of a user is the count of users in lower buckets, of which there are 1009, and its rank within its own.
+relational("event_split", """WITH u AS (SELECT DISTINCT user_id, user_id * 7919 % 1009 AS h FROM {v_obs}), b AS (SELECT h, count(*) AS n FROM u GROUP BY h), c AS (SELECT h AS bucket, sum(n) OVER (ORDER BY h) - n AS below, sum(n) OVER () AS total FROM b),
+r AS (SELECT user_id, below + row_number() OVER (PARTITION BY h ORDER BY user_id) AS k, total FROM u JOIN c ON h = bucket) SELECT user_id, CASE WHEN k <= 0.7D * total THEN 'train' WHEN k <= 0.85D * total THEN 'calibrate' ELSE 'test' END AS part FROM r""")
 # Weak updraft energy and a strong cap reduce a probability, organised shear raises it a little; missing inputs leave it be.
 relational("thermo_gating", """WITH x AS (SELECT event_id, CASE WHEN station = 7 THEN NULL ELSE value * 10 END AS cape, user_id * 3D AS cin, station * 4D AS shear FROM {v_obs} WHERE modality = 'model')
 SELECT event_id, round(least(greatest(CASE WHEN cape IS NULL THEN 1D ELSE least(greatest(cape / 1000, 0.1D), 1D) END * CASE WHEN cin > 200 THEN least(greatest(1 - (cin - 200) / 200, 0.1D), 1D) ELSE 1D END
