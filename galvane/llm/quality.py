@@ -4,12 +4,14 @@ Trusted text is what labels call good and not toxic. Documents are packed by hom
 id; each home counts the 4-grams of its trusted texts and names those of all its texts. The counts
 of all homes are summed by gram; counts of lower orders are numbers of distinct left neighbours;
 joins by gram and by context give each gram's probability, and each home gets back its own grams.
-A document's score is its mean negative log probability. It is rejected if that is above what a
-quantile of its language's trusted documents has, by a margin.
+Trusted documents are in two halves by a hash of their id. Each half makes a model, both in the same
+joins. A trusted document is scored by the half that it is not in, all others by the mean of both,
+so none is scored by a model that has seen it. A document's score is its mean negative log
+probability. It is rejected if that is above a quantile of its language's trusted documents.
 
 Defined results: texts under 4 bytes have no score and are kept; a null text is empty; short texts
 are drawn to their language's mean as if they had PRIOR more grams of it; documents that labels
-call good are kept; a language without trusted documents takes the limit of all trusted ones; a
+call good are kept; a half without trusted documents is a uniform model; a language without trusted documents takes the limit of all trusted ones; a
 doc_id labelled more than once is good if all its labels say so.
 """
 
@@ -22,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galvane.llm.common import U64, buckets_for, chunks, column_bytes, inside, written
+from galvane.llm.common import U64, buckets_for, chunks, column_bytes, inside, mix, written
 
 ORDER = 4
 HOME_BYTES = 16 << 20
 PRIOR = 60
-QUANTILE, MARGIN = 0.98, 0.25
+QUANTILE = 0.98
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,83 +72,100 @@ def unpacked_home(table: pa.Table) -> Iterator[tuple[list, list, np.ndarray, np.
         yield ids, langs, off, np.frombuffer(data, np.uint8)
 
 
+def half_of(ids: list) -> np.ndarray:
+    """0 or 1 for each document, by its id."""
+    return (mix(np.array([i or 0 for i in ids], np.int64).view(U64)) >> U64(32) & U64(1)).astype(np.int64)
+
+
 def home_counts(home, docs, labels):
-    """gram, n: how often trusted texts of the home have each gram that any text of it has."""
+    """gram, n0, n1: how often trusted texts of the home, by half, have each gram that any text of it has."""
     good = set(labels.column("doc_id").to_pylist())
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def folded() -> tuple[np.ndarray, np.ndarray]:
-        g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def folded() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, *c = (np.concatenate(x) for x in zip(*parts, strict=True))
         kinds, number = np.unique(g, return_inverse=True)
-        return kinds, np.bincount(number, c, len(kinds)).astype(np.int64)
+        return kinds, *(np.bincount(number, x, len(kinds)).astype(np.int64) for x in c)
 
     for ids, _, off, data in unpacked_home(docs):
-        trusted = np.array([i in good for i in ids], bool)
+        trusted, half = np.array([i in good for i in ids], bool), half_of(ids)
         for a, _, part, poff in chunks(data, off):
             g, at = grams(part, poff)
-            ok = trusted[a + np.searchsorted(poff, at, "right") - 1]
-            parts.append(tuple(np.unique(g[ok], return_counts=True)))
+            text = a + np.searchsorted(poff, at, "right") - 1
+            ok = trusted[text]
+            for h in (0, 1):
+                kinds, n = np.unique(g[ok & (half[text] == h)], return_counts=True)
+                parts.append((kinds, n * (h == 0), n * (h == 1)))
             rest = np.unique(g[~ok])
-            parts.append((rest, np.zeros(len(rest), np.int64)))
+            parts.append((rest, *np.zeros((2, len(rest)), np.int64)))
         if len(parts) > 16:
             parts = [folded()]
-    g, c = folded() if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    g, *c = folded() if parts else (np.zeros(0, np.uint32), *np.zeros((2, 0), np.int64))
     key = home[0].as_py() if home[0] is not None else None
-    return pa.table({"home": pa.array(np.full(len(g), key), pa.int32()), "gram": pa.array(g.astype(np.int64)), "n": pa.array(c)})
+    return pa.table({"home": pa.array(np.full(len(g), key), pa.int32()), "gram": pa.array(g.astype(np.int64)), "n0": pa.array(c[0]), "n1": pa.array(c[1])})
 
 
 def home_scores(home, docs, answers):
-    """doc_id, lang, n, cost of each document of the home."""
+    """doc_id, lang, n of each document of the home, its cost by the half that it is not in, and the mean of both."""
     known = answers.column("gram").to_numpy()
     order = np.argsort(known)
-    known, cost = known[order].astype(np.uint32), answers.column("cost").to_numpy()[order]
+    known, costs = known[order].astype(np.uint32), np.stack([answers.column(f"cost{h}").to_numpy()[order] for h in (0, 1)])
     out = []
     for ids, langs, off, data in unpacked_home(docs):
-        n, total = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        n, total = np.zeros(len(ids), np.int64), np.zeros((2, len(ids)))
         for a, b, part, poff in chunks(data, off):
             g, at = grams(part, poff)
             if len(g):
                 text = np.searchsorted(poff, at, "right") - 1
                 n[a:b] = np.bincount(text, minlength=b - a)
-                total[a:b] = np.bincount(text, cost[np.searchsorted(known, g)], b - a)
-        out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n": n, "cost": total}))
-    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
+                place = np.searchsorted(known, g)
+                for h in (0, 1):
+                    total[h, a:b] = np.bincount(text, costs[h, place], b - a)
+        other = total[1 - half_of(ids), np.arange(len(ids))]
+        out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n": n, "other": other, "both": total.mean(axis=0)}))
+    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.float64()), "both": pa.array([], pa.float64())})
 
 
 def _mask(gram: Column | str, n: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << 8 * n) - 1)) if isinstance(gram, str) else gram.bitwiseAND(F.lit((1 << 8 * n) - 1))
 
 
-def discounts(level: DataFrame) -> list[float]:
-    """What is taken off counts of 1, 2, and 3 or more: from how many grams of the level have counts 1 to 4."""
-    n = [0, *level.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.0
-    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) if n[k] else 0.1 for k in (1, 2, 3)]
+def discounts(level: DataFrame, models: range) -> list[list[float]]:
+    """For each model, what is taken off counts of 1, 2, and 3 or more: from how many grams of the level have counts 1 to 4."""
+    found = level.agg(*[F.count_if(F.col(f"c{m}") == k) for m in models for k in (1, 2, 3, 4)]).first()
+    out = []
+    for m in models:
+        n = [0, *found[4 * m : 4 * m + 4]]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.0
+        out.append([min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) if n[k] else 0.1 for k in (1, 2, 3)])
+    return out
 
 
-def model_costs(counts: DataFrame) -> DataFrame:
-    """gram, cost: -ln of the interpolated probability of every gram in counts (gram, n).
+def model_costs(counts: DataFrame, names: tuple[tuple[str, str], ...] = (("n", "cost"),)) -> DataFrame:
+    """gram and costs: -ln of the interpolated probability of every gram in counts.
 
-    Each order's counts are written once, since four later steps read them.
+    names: for each model, its column in counts (next to gram) and that of its costs. Each order's
+    counts are written once, since four later steps read them.
     """
-    wanted = written(counts.groupBy("gram").agg(F.sum("n").alias("c")), "order")
-    levels = {ORDER: wanted.where("c > 0")}
+    models = range(len(names))
+    wanted = written(counts.groupBy("gram").agg(*[F.sum(names[m][0]).alias(f"c{m}") for m in models]), "order")
+    levels = {ORDER: wanted.where(" or ".join(f"c{m} > 0" for m in models))}
     for n in range(ORDER - 1, 0, -1):  # numbers of distinct left neighbours
-        levels[n] = written(levels[n + 1].groupBy(_mask("gram", n).alias("gram")).agg(F.count("*").alias("c")), "order")
-    out = wanted.select("gram", F.lit(1 / 256).alias("p"))
+        levels[n] = written(levels[n + 1].groupBy(_mask("gram", n).alias("gram")).agg(*[F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}") for m in models]), "order")
+    out = wanted.select("gram", *[F.lit(1 / 256).alias(f"p{m}") for m in models])
     for n in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(levels[n])
-        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        level = levels[n].select("gram", "c", F.shiftright("gram", 8).alias("context"), off.alias("d"))
-        contexts = written(level.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("rest")), "contexts")
-        seen = level.join(contexts.select("context", "total"), "context").select(F.col("gram").alias("seen"), ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
+        off = [F.when(F.col(f"c{m}") == 0, 0.0).when(F.col(f"c{m}") == 1, d[0]).when(F.col(f"c{m}") == 2, d[1]).otherwise(d[2]).alias(f"d{m}") for m, d in enumerate(discounts(levels[n], models))]
+        level = levels[n].select("*", F.shiftright("gram", 8).alias("context"), *off)
+        totals = [F.nullif(F.sum(f"c{m}"), F.lit(0)) for m in models]
+        contexts = written(level.groupBy("context").agg(*[t.alias(f"total{m}") for m, t in enumerate(totals)], *[(F.sum(f"d{m}") / t).alias(f"rest{m}") for m, t in enumerate(totals)]), "contexts")
+        seen = level.join(contexts.select("context", *[f"total{m}" for m in models]), "context").select(F.col("gram").alias("seen"), *[((F.col(f"c{m}") - F.col(f"d{m}")) / F.col(f"total{m}")).alias(f"own{m}") for m in models])
         key = F.shiftright(_mask("gram", n), 8)
         out = (
             out.join(seen, _mask("gram", n) == F.col("seen"), "left")
-            .join(contexts.select(F.col("context").alias("before"), "rest"), key == F.col("before"), "left")
-            .select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p")).alias("p"))
+            .join(contexts.select(F.col("context").alias("before"), *[f"rest{m}" for m in models]), key == F.col("before"), "left")
+            .select("gram", *[(F.coalesce(f"own{m}", F.lit(0.0)) + F.coalesce(f"rest{m}", F.lit(1.0)) * F.col(f"p{m}")).alias(f"p{m}") for m in models])
         )
-    return out.select("gram", (-F.log("p")).alias("cost"))
+    return out.select("gram", *[(-F.log(f"p{m}")).alias(names[m][1]) for m in models])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -155,21 +174,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n, cost of each document."""
+    """doc_id, lang, n, and the costs other and both, of each document."""
     homes = buckets_for(docs, each=HOME_BYTES)
     packs = packed_homes(docs, homes)
     good = trusted_ids(labels).withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int"))
-    counts = packs.groupBy("home").cogroup(good.groupBy("home")).applyInArrow(home_counts, "home int, gram bigint, n bigint")
+    counts = packs.groupBy("home").cogroup(good.groupBy("home")).applyInArrow(home_counts, "home int, gram bigint, n0 bigint, n1 bigint")
     counts = written(counts, "grams")
-    answers = counts.select("home", "gram").join(model_costs(counts), "gram").select("home", "gram", "cost")
-    return packs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(home_scores, "doc_id bigint, lang string, n bigint, cost double")
+    answers = counts.select("home", "gram").join(model_costs(counts, (("n0", "cost0"), ("n1", "cost1"))), "gram").select("home", "gram", "cost0", "cost1")
+    return packs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(home_scores, "doc_id bigint, lang string, n bigint, other double, both double")
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity (of a byte) and keep, for each document."""
     scores = written(scored(docs, labels), "scores")
     good = trusted_ids(labels).withColumn("good", F.lit(True))
-    flagged = scores.join(good, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    flagged = scores.join(good, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))).withColumn("cost", F.when(F.col("good"), F.col("other")).otherwise(F.col("both")))
     lang = F.coalesce("lang", F.lit(""))
     means = flagged.where("good and n > 0").groupBy(lang.alias("of")).agg((F.sum("cost") / F.sum("n")).alias("mean"))
     mean_all = flagged.where("good and n > 0").agg((F.sum("cost") / F.sum("n")).alias("m")).first()[0]
@@ -181,7 +200,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
     limits = drawn.where("good and n > 0").groupBy(lang.alias("of")).agg(F.percentile_approx("drawn", F.lit(quantile), accuracy).alias("limit"))
     limit_all = drawn.where("good and n > 0").agg(F.percentile_approx("drawn", F.lit(quantile), accuracy)).first()[0]
     out = drawn.join(limits, lang == F.col("of"), "left")
-    keep = F.col("good") | (F.col("n") == 0) | (F.col("drawn") <= F.coalesce("limit", F.lit(limit_all)) + margin)
+    keep = F.col("good") | (F.col("n") == 0) | (F.col("drawn") <= F.coalesce("limit", F.lit(limit_all)))
     return out.select("doc_id", "lang", F.exp(F.col("cost") / F.nullif("n", F.lit(0))).alias("perplexity"), keep.alias("keep"))
 
 

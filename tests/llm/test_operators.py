@@ -174,3 +174,16 @@ def test_empty_tables(none, spark):
     assert repeats.drop_repeated_words(none).count() == 0 and suffix_dedup.drop_repeated_bytes(none).count() == 0
     assert jaccard.near_duplicates(none).count() == 0
     assert metric_search.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), "vec_id % 20 = 0").count() == 0
+
+
+def test_quality_held_out(spark):
+    """The limit promises a share of clean texts: strange clean ones pass it, and texts somewhat unlike them do not."""
+    rng = random.Random(3)
+    stock = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    text = lambda: " ".join(rng.choice(stock) for _ in range(60))
+    other = lambda: " ".join(w[::-1] if rng.random() < 0.15 else w for w in text().split())
+    made = [(i, text(), "en") for i in range(400)] + [(1000 + i, text(), "en") for i in range(200)] + [(2000 + i, other(), "en") for i in range(200)]
+    d = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    l = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    gone = [r["doc_id"] for r in quality.judged(d, l).where("not keep").collect()]
+    assert sum(1000 <= i < 2000 for i in gone) <= 16 and sum(i >= 2000 for i in gone) >= 150
