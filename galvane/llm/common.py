@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
@@ -41,6 +41,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key() -> list[Column]:
+    """doc_id and text_hash: what tells a document's row from others of its doc_id."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, *more: str) -> DataFrame:
+    """docs without the rows whose doc_id (null too), text and columns more are in gone (doc_id, text_hash, more)."""
+    named = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in ("doc_id", "text_hash", *more)]).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(named["_gone_doc_id"]) & (F.xxhash64(docs["text"]) == named["_gone_text_hash"])
+    for c in more:
+        same &= docs[c].cast("string").eqNullSafe(named[f"_gone_{c}"])
+    return docs.join(named, same, "left_anti").select(docs.columns)
+
+
 def buckets_for(docs: DataFrame, text: str = "text", each: int = BUCKET_BYTES) -> int:
     """A number of shuffle buckets in proportion to the bytes of text."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

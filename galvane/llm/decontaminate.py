@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from galvane.llm.common import written
+from galvane.llm.common import row_key, without_rows, written
 
 MAX_EDIT_RATE = 0.06
 BLOCK_BYTES = 4 << 20
 _OTHER = re.compile(r"[\W_]+")
-SCHEMA = "doc_id bigint, item_id bigint, edits int"
+SCHEMA = "doc_id bigint, text_hash bigint, item_id bigint, edits int"
 
 
 def normal(text: str) -> str:
@@ -110,8 +110,8 @@ class Matcher:
         return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id and the least edits of each item found in each document."""
+def leaks(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """doc_id, text_hash, item_id and edits of each item found in each row, by block; the number of blocks."""
     items = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
@@ -123,19 +123,24 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_E
             matcher = Matcher(block, max_edit_rate)
             for batch in batches:
                 rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if text and matcher.any:
-                        rows += [(doc, item, edits) for item, edits in matcher.find(normal(text)).items()]
-                cols = list(zip(*rows, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "edits"])
+                        rows += [(doc, key, item, edits) for item, edits in matcher.find(normal(text)).items()]
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "text_hash", "item_id", "edits"])
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+        found = docs.select(row_key()[0], "text", row_key()[1]).mapInArrow(run, SCHEMA)
         found = written(found, "leaks") if n > 1 else found
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits")) if n > 1 else out
+    return out, n
+
+
+def contaminated(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id and the least edits of each item found in each document."""
+    out, n = leaks(docs, items, max_edit_rate, block_bytes)
+    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits")) if n > 1 else out.drop("text_hash")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents in which an item is found; rows without a doc_id are tested too."""
-    leaks = contaminated(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti").select(docs.columns)
+    """docs without the rows in which an item is found; other rows of their doc_id, or without one, stay."""
+    return without_rows(docs, leaks(docs, items)[0])

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galvane.llm.common import U64, buckets_for, chunks, column_bytes, inside, mix, written
+from galvane.llm.common import U64, buckets_for, chunks, column_bytes, inside, mix, row_key, without_rows, written
 
 ORDER = 4
 HOME_BYTES = 16 << 20
@@ -42,7 +42,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_homes(docs: DataFrame, homes: int) -> DataFrame:
-    """home, data: batches of texts with their ids and languages, compressed."""
+    """home, data: batches of texts with their ids, languages and hashes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -56,20 +56,20 @@ def packed_homes(docs: DataFrame, homes: int) -> DataFrame:
             for i, a in enumerate(cut):
                 part = batch.take(pa.array(order[a : cut[i + 1] if i + 1 < len(cut) else len(order)]))
                 data, off = column_bytes(part.column(2))
-                rows.append((int(home[order[a]]), squeeze(pickle.dumps((part.column(1).to_pylist(), part.column(3).to_pylist(), off, data.tobytes()), protocol=5))))
+                rows.append((int(home[order[a]]), squeeze(pickle.dumps((part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(4).to_numpy(), off, data.tobytes()), protocol=5))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["home", "data"])
 
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int").alias("home"), F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int").alias("home"), row_key()[0], "text", F.col("lang").cast("string"), row_key()[1])
     return rows.mapInArrow(run, "home int, data binary")
 
 
-def unpacked_home(table: pa.Table) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+def unpacked_home(table: pa.Table) -> Iterator[tuple[list, list, np.ndarray, np.ndarray, np.ndarray]]:
     import zstandard
 
     open_ = zstandard.ZstdDecompressor().decompress
     for blob in table.column("data"):
-        ids, langs, off, data = pickle.loads(open_(blob.as_py()))
-        yield ids, langs, off, np.frombuffer(data, np.uint8)
+        ids, langs, hashes, off, data = pickle.loads(open_(blob.as_py()))
+        yield ids, langs, hashes, off, np.frombuffer(data, np.uint8)
 
 
 def half_of(ids: list) -> np.ndarray:
@@ -87,7 +87,7 @@ def home_counts(home, docs, labels):
         kinds, number = np.unique(g, return_inverse=True)
         return kinds, *(np.bincount(number, x, len(kinds)).astype(np.int64) for x in c)
 
-    for ids, _, off, data in unpacked_home(docs):
+    for ids, _, _, off, data in unpacked_home(docs):
         trusted, half = np.array([i in good for i in ids], bool), half_of(ids)
         for a, _, part, poff in chunks(data, off):
             g, at = grams(part, poff)
@@ -106,12 +106,12 @@ def home_counts(home, docs, labels):
 
 
 def home_scores(home, docs, answers):
-    """doc_id, lang, n of each document of the home, its cost by the half that it is not in, and the mean of both."""
+    """doc_id, text_hash, lang, n of each document of the home, its cost by the half that it is not in, and the mean of both."""
     known = answers.column("gram").to_numpy()
     order = np.argsort(known)
     known, costs = known[order].astype(np.uint32), np.stack([answers.column(f"cost{h}").to_numpy()[order] for h in (0, 1)])
     out = []
-    for ids, langs, off, data in unpacked_home(docs):
+    for ids, langs, hashes, off, data in unpacked_home(docs):
         n, total = np.zeros(len(ids), np.int64), np.zeros((2, len(ids)))
         for a, b, part, poff in chunks(data, off):
             g, at = grams(part, poff)
@@ -122,8 +122,8 @@ def home_scores(home, docs, answers):
                 for h in (0, 1):
                     total[h, a:b] = np.bincount(text, costs[h, place], b - a)
         other = total[1 - half_of(ids), np.arange(len(ids))]
-        out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n": n, "other": other, "both": total.mean(axis=0)}))
-    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.float64()), "both": pa.array([], pa.float64())})
+        out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "text_hash": pa.array(hashes, pa.int64()), "lang": pa.array(langs, pa.string()), "n": n, "other": other, "both": total.mean(axis=0)}))
+    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.float64()), "both": pa.array([], pa.float64())})
 
 
 def _mask(gram: Column | str, n: int) -> Column:
@@ -174,18 +174,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n, and the costs other and both, of each document."""
+    """doc_id, text_hash, lang, n, and the costs other and both, of each document."""
     homes = buckets_for(docs, each=HOME_BYTES)
     packs = packed_homes(docs, homes)
     good = trusted_ids(labels).withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int"))
     counts = packs.groupBy("home").cogroup(good.groupBy("home")).applyInArrow(home_counts, "home int, gram bigint, n0 bigint, n1 bigint")
     counts = written(counts, "grams")
     answers = counts.select("home", "gram").join(model_costs(counts, (("n0", "cost0"), ("n1", "cost1"))), "gram").select("home", "gram", "cost0", "cost1")
-    return packs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(home_scores, "doc_id bigint, lang string, n bigint, other double, both double")
+    return packs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(home_scores, "doc_id bigint, text_hash bigint, lang string, n bigint, other double, both double")
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, perplexity (of a byte) and keep, for each document."""
+def verdicts(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, text_hash, lang, perplexity (of a byte) and keep, for each document."""
     scores = written(scored(docs, labels), "scores")
     good = trusted_ids(labels).withColumn("good", F.lit(True))
     flagged = scores.join(good, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))).withColumn("cost", F.when(F.col("good"), F.col("other")).otherwise(F.col("both")))
@@ -193,7 +193,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     means = flagged.where("good and n > 0").groupBy(lang.alias("of")).agg((F.sum("cost") / F.sum("n")).alias("mean"))
     mean_all = flagged.where("good and n > 0").agg((F.sum("cost") / F.sum("n")).alias("m")).first()[0]
     if mean_all is None:  # nothing is trusted: there is no ground to reject
-        return flagged.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(True).alias("keep"))
+        return flagged.select("doc_id", "text_hash", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(True).alias("keep"))
     drawn = flagged.join(means, lang == F.col("of"), "left").withColumn("mean", F.coalesce("mean", F.lit(mean_all)))
     drawn = drawn.withColumn("drawn", (F.col("cost") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)).drop("of")
     accuracy = F.lit(10_000)
@@ -201,10 +201,14 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     limit_all = drawn.where("good and n > 0").agg(F.percentile_approx("drawn", F.lit(quantile), accuracy)).first()[0]
     out = drawn.join(limits, lang == F.col("of"), "left")
     keep = F.col("good") | (F.col("n") == 0) | (F.col("drawn") <= F.coalesce("limit", F.lit(limit_all)))
-    return out.select("doc_id", "lang", F.exp(F.col("cost") / F.nullif("n", F.lit(0))).alias("perplexity"), keep.alias("keep"))
+    return out.select("doc_id", "text_hash", "lang", F.exp(F.col("cost") / F.nullif("n", F.lit(0))).alias("perplexity"), keep.alias("keep"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, perplexity (of a byte) and keep, for each document."""
+    return verdicts(docs, labels, quantile).drop("text_hash")
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that are kept; a doc_id with several rows goes if one of them is rejected."""
-    gone = judged(docs, labels).where("not keep").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(docs.columns)
+    """docs that are kept: a rejected row goes, other rows of its doc_id, or without one, stay."""
+    return without_rows(docs, verdicts(docs, labels).where("not keep"), "lang")

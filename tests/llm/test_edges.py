@@ -96,3 +96,20 @@ def test_pipeline(spark, odd, labels, items, tmp_path):
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r["doc_id"] for r in last}
     assert {3, 4} <= ids and 2 not in ids
+
+
+@pytest.mark.parametrize("doc", [None, 70])
+def test_verdicts_go_by_row(spark, doc):
+    good, item = "the cat sat on the mat and the dog ran to the red house ", "the quick brown fox jumps over the lazy dog while seven wizards mix a potion"
+    bad = "#$%^ &*!! @@ ~~ || {}{} <>" * 20
+    d = spark.createDataFrame([(i, good * 5, "en") for i in range(20)] + [(doc, bad, "en"), (doc, good * 5, "en")], "doc_id bigint, text string, lang string")
+    l = spark.createDataFrame([(i, 1, 0) for i in range(15)], "doc_id bigint, quality int, toxic int")
+    assert [r["text"] for r in quality.without_rejected(d, l).collect() if r["doc_id"] == doc] == [good * 5]
+    d = spark.createDataFrame([(doc, f"so {item} it is"), (doc, good)], "doc_id bigint, text string")
+    assert [r["text"] for r in decontaminate.decontaminated(d, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()] == [good]
+
+
+def test_copies_go_by_row(spark):
+    other = "another text that no row but two has, of thirteen words or so"
+    d = spark.createDataFrame([(1, BODY), (8, BODY), (8, other), (9, other)], "doc_id bigint, text string")
+    assert sorted(map(tuple, jaccard.one_of_each(d).collect())) == [(1, BODY), (8, other)]
