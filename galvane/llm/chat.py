@@ -10,7 +10,8 @@ A turn is written <turn role="...">text</turn> and a line end. In texts & and <
 Defined results: a null text or role is empty; a message whose parent is null, missing or itself is
 a root; scores that are null count 0; of branches that score the same the one with the smaller
 leaf goes first; messages with one id in one conversation count once; messages in a ring of
-answers have no root and no path and are left out.
+answers, and those that hang off one, have no root and no path and are left out; messages without a
+conv_id are one conversation.
 """
 
 from __future__ import annotations
@@ -41,26 +42,31 @@ def branches(messages: DataFrame, keep: int | None = None) -> DataFrame:
 
     messages: conv_id, node, parent, score, each (conv_id, node) once.
     """
+    messages = messages.withColumn("conv_id", F.struct("conv_id"))  # a struct that holds null joins with its like
     known = messages.select("conv_id", F.col("node").alias("parent"))
     hop = messages.where("parent is not null and parent <> node").select("conv_id", "node", "parent").join(known, ["conv_id", "parent"], "left_semi")
     hop = written(hop.select("conv_id", "node", F.col("parent").alias("up")), "hops")
     inner = hop.select("conv_id", F.col("up").alias("node")).distinct()
     leaves = messages.join(inner, ["conv_id", "node"], "left_anti")
     paths = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("step"))
-    jump, reach = hop, 1
-    while not jump.isEmpty():  # rounds: the logarithm of the longest path
+    longest = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    jumps = [hop]
+    while not jumps[-1].isEmpty():  # rounds: the logarithm of the longest path
+        if 1 << len(jumps) - 1 >= longest:  # who still goes on, after more steps than there are messages, goes round
+            paths = paths.join(jumps[-1].select("conv_id", F.col("node").alias("leaf")), ["conv_id", "leaf"], "left_anti")
+            break
+        after = jumps[-1].select("conv_id", F.col("node").alias("up"), F.col("up").alias("top"))
+        jumps.append(written(jumps[-1].join(after, ["conv_id", "up"]).select("conv_id", "node", F.col("top").alias("up")), "jumps"))
+    reach = 1
+    for jump in jumps[:-1]:
         far = paths.join(jump, ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("step") + reach).alias("step"))
         paths = written(paths.unionByName(far), "paths")
-        after = jump.select("conv_id", F.col("node").alias("up"), F.col("up").alias("top"))
-        jump = written(jump.join(after, ["conv_id", "up"]).select("conv_id", "node", F.col("top").alias("up")), "jumps")
         reach *= 2
-        if reach > 1 << 40:
-            break
     total = paths.join(messages.select("conv_id", "node", F.coalesce("score", F.lit(0.0)).alias("s")), ["conv_id", "node"])
     ranked = total.groupBy("conv_id", "leaf").agg(F.sum("s").alias("total")).withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "leaf")))
     if keep is not None:
         ranked = ranked.where(F.col("branch") <= keep)
-    return paths.join(ranked.drop("total"), ["conv_id", "leaf"])
+    return paths.join(ranked.drop("total"), ["conv_id", "leaf"]).withColumn("conv_id", F.col("conv_id.conv_id"))
 
 
 def formatted(messages: DataFrame, keep: int | None = None, learn: str = "assistant") -> DataFrame:
@@ -69,7 +75,7 @@ def formatted(messages: DataFrame, keep: int | None = None, learn: str = "assist
     messages: conv_id, node, parent, score, role, text. loss: (start, length), in code points from
     0, of the texts by the role to be learnt, as they stand in formatted.
     """
-    once = messages.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+    once = messages.withColumn("conv_id", F.struct("conv_id")).withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     once = once.groupBy("conv_id", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("conv_id", "node", "m.*")
     path = branches(once.select("conv_id", "node", "parent", "score"), keep)
     turn = path.join(once.select("conv_id", "node", "role", "text"), ["conv_id", "node"]).select(
@@ -84,7 +90,7 @@ def formatted(messages: DataFrame, keep: int | None = None, learn: str = "assist
         lambda acc, t: F.struct((acc["at"] + size(t)).cast("long").alias("at"), F.when(t["learn"], F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(t["head"])).cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length"))))).otherwise(acc["out"]).alias("out")),
         lambda acc: acc["out"],
     )
-    return all_.select("conv_id", "branch", F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(foot))), "").alias("formatted"), marks.alias("loss"))
+    return all_.select("conv_id.conv_id", "branch", F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(foot))), "").alias("formatted"), marks.alias("loss"))
 
 
 def read_back(rows: DataFrame) -> DataFrame:

@@ -113,3 +113,15 @@ def test_copies_go_by_row(spark):
     other = "another text that no row but two has, of thirteen words or so"
     d = spark.createDataFrame([(1, BODY), (8, BODY), (8, other), (9, other)], "doc_id bigint, text string")
     assert sorted(map(tuple, jaccard.one_of_each(d).collect())) == [(1, BODY), (8, other)]
+
+
+def test_chat_without_conversation(spark):
+    c = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "an answer"), (1, 0, "user", "q")], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digest(c).collect()}
+    assert got == {None: (2, 9), 1: (1, 0)}
+
+
+def test_chat_ring(spark):
+    ring = [(1, 1, 3, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 0.0), (1, 4, 2, 0.0), (1, 5, 4, 0.0), (1, 6, None, 0.0), (1, 7, 6, 0.0), (1, 8, 7, 0.0), (2, 1, 2, 0.0), (2, 2, 1, 0.0), (None, 1, None, 0.0), (None, 2, 1, 0.0)]
+    got = chat.branches(spark.createDataFrame(ring, "conv_id bigint, node bigint, parent bigint, score double")).collect()
+    assert sorted(((r["conv_id"] or 0, r["leaf"], r["step"], r["node"]) for r in got)) == [(0, 2, 0, 2), (0, 2, 1, 1), (1, 8, 0, 8), (1, 8, 1, 7), (1, 8, 2, 6)]
