@@ -2,7 +2,9 @@
 
 Source and configuration text is lexed into (name, literal) pairs around =, :, := and =>. Names
 that hold literals are constants; an expression of constants and literals is resolved through
-them. A literal is scored by how sensitive the name is that it ends up in and by its own shape.
+them. A literal is scored by how sensitive the name is that it ends up in and by the shape of all the
+literals of that expression together. Blanks around operators, line breaks after + (and before one
+that is indented), names, literals of an expression and chains of constants have no limit of number.
 
 Defined results: a null or empty text has no spans; rows repeat as they are; a null doc_id is
 kept; other columns, whatever their names, are not read. Each text is scanned whole, by itself.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,9 +35,9 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined
 THRESHOLD = 1.5
 
 _OPERATOR = re.compile(r":=|=>|=|:")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})["'\]]{0,2}[ \t]{0,20}\Z""")
-_TERM = re.compile(r"""[ \t]{0,20}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{([A-Za-z_][A-Za-z0-9_]*)\}|([^\s"'`,;(){}\[\]<>+]+))""")
-_PLUS = re.compile(r"[ \t]{0,20}\+(?=[ \t]{0,20}[\"'$A-Za-z_])")
+_WORD = string.ascii_letters + string.digits + "_.-"
+_TERM = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{([A-Za-z_][A-Za-z0-9_]*)\}|([^\s"'`,;(){}\[\]<>+]+))""")
+_PLUS = re.compile(r"[ \t]*+(?:\r?\n[ \t]++)?\+(?:[ \t]|\\?\r?\n)*+(?=[\"'$A-Za-z_])")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -44,23 +47,61 @@ def name_score(name: str) -> float:
     return max([0.0, *(SENSITIVE.get(x, 0.0) for x in parts), *(SENSITIVE_PAIRS.get(x, 0.0) for x in zip(parts, parts[1:], strict=False))])
 
 
-def literal_score(value: str) -> float:
+class Shape:
+    """What literal_score needs of literals in a row, in little room however often they repeat."""
+
+    def __init__(self, value: str = ""):
+        self.n, self.counts, self.head, self.last = len(value), Counter(value), value[:64], value[-1:]
+
+    def __iadd__(self, other: Shape) -> Shape:
+        self.n, self.counts = self.n + other.n, self.counts + other.counts
+        self.head, self.last = (self.head + other.head)[:64], other.last or self.last
+        if self.n >> 900:  # only the shares of such counts matter
+            self.n, self.counts = self.n >> 800, Counter({c: max(1, k >> 800) for c, k in self.counts.items()})
+        return self
+
+    def sample(self) -> str:
+        """The text itself if it is short, else one that PLACEHOLDER takes as it takes the text."""
+        return self.head if self.n <= 64 else self.head + "".join(self.counts) + self.last
+
+
+def literal_score(value: str | Shape) -> float:
     """0 for prose and placeholders, towards 1 for long mixed strings."""
-    if len(value) < 8 or " " in value or PLACEHOLDER.match(value):
+    value = Shape(value) if isinstance(value, str) else value
+    n, counts = value.n, value.counts
+    if n < 8 or " " in counts or PLACEHOLDER.match(value.sample()):
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    bits = -sum(p * math.log2(p) for k in counts.values() if (p := k / n))
+    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, 0.15 + bits / 8 + 0.1 * kinds + min(n, 40) / 200)
 
 
+def _back(text: str, end: int, chars: str) -> int:
+    """Where the run of chars that ends at end starts."""
+    size = 64
+    while True:
+        lo = max(0, end - size)
+        kept = len(text[lo:end].rstrip(chars))
+        if kept or not lo:
+            return lo + kept
+        size *= 2
+
+
+def name_before(text: str, end: int) -> str:
+    """The name that ends at end but for a quote, a bracket and blanks; empty if there is none."""
+    end = _back(text, end, " \t")
+    for _ in range(2):
+        end -= end > 0 and text[end - 1] in "\"']"
+    return text[_back(text, end, _WORD) : end].lstrip(string.digits + ".-")
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
     """(name, terms) in the text's order; a term is (content, start, end, is it a literal?)."""
     at = 0
     for m in _OPERATOR.finditer(text):
         if m.start() < at:
             continue
-        name = _NAME.search(text, max(0, m.start() - 160), m.start())
+        name = name_before(text, m.start())
         if not name:
             continue
         terms, pos = [], m.end()
@@ -76,31 +117,40 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
             pos = plus.end()
         if terms:
             at = pos
-            yield name[1], terms
+            yield name, terms
 
 
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    nodes: list[tuple[list[tuple[int, int]], list[int]]] = []  # own literals, and constants as numbers of nodes before
+    constants: dict[str, tuple[int, Shape]] = {}
+    wanted: list[tuple[float, int]] = []
     for name, terms in pairs(text):
-        parts: list[tuple[str, int, int]] = []
+        own, used, shape = [], [], Shape()
         for content, start, end, literal in terms:
-            if literal:
-                parts.append((content, start, end))
+            if literal or content not in constants and len(terms) == 1 and any(c.isdigit() for c in content):
+                own.append((start, end))  # or a bare word that looks like no name
+                shape += Shape(content)
             elif content in constants:
-                parts += constants[content]
-            elif len(terms) == 1 and any(c.isdigit() for c in content):
-                parts.append((content, start, end))  # a bare word that looks like no name
-        parts = parts[:64]
-        constants[name] = parts
-        wanted = name_score(name)
-        if wanted and parts:
-            score = wanted + literal_score("".join(x[0] for x in parts))
-            if score >= THRESHOLD:
-                for _, start, end in parts:
-                    if end > start:
-                        found[start, end] = max(score, found.get((start, end), 0.0))
+                used.append(constants[content][0])
+                shape += constants[content][1]
+        constants[name] = len(nodes), shape
+        nodes.append((own, used))
+        sensitive = name_score(name)
+        if sensitive and (own or used) and (score := sensitive + literal_score(shape)) >= THRESHOLD:
+            wanted.append((score, len(nodes) - 1))
+    found: dict[tuple[int, int], float] = {}
+    visited: set[int] = set()
+    for score, k in sorted(wanted, reverse=True):  # so each literal gets the best score that it reaches
+        todo = [k]
+        while todo:
+            k = todo.pop()
+            if k not in visited:
+                visited.add(k)
+                todo += nodes[k][1]
+                for span in nodes[k][0]:
+                    if span[1] > span[0]:
+                        found.setdefault(span, score)
     return [(a, b, s) for (a, b), s in sorted(found.items())]
 
 

@@ -125,3 +125,22 @@ def test_chat_ring(spark):
     ring = [(1, 1, 3, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 0.0), (1, 4, 2, 0.0), (1, 5, 4, 0.0), (1, 6, None, 0.0), (1, 7, 6, 0.0), (1, 8, 7, 0.0), (2, 1, 2, 0.0), (2, 2, 1, 0.0), (None, 1, None, 0.0), (None, 2, 1, 0.0)]
     got = chat.branches(spark.createDataFrame(ring, "conv_id bigint, node bigint, parent bigint, score double")).collect()
     assert sorted(((r["conv_id"] or 0, r["leaf"], r["step"], r["node"]) for r in got)) == [(0, 2, 0, 2), (0, 2, 1, 1), (1, 8, 0, 8), (1, 8, 1, 7), (1, 8, 2, 6)]
+
+
+@pytest.mark.parametrize("name", ["db_pwd", "passphrase", "private_key", "credential", "auth", "n" * 200 + "_pwd"])
+def test_secrets_far_from_their_names(name):
+    value, gap = "Zx81kQ0pLm-7uTw/93hGv+Ne", " " * 300
+    for text in (f'{name}{gap}={gap}"{value}"', f'part{gap}={gap}"{value}"\n{name}{gap}={gap}part', f'{name} = "pre" +\n    "{value}"', f'{name} = "pre"\n    + "{value}"', f'{name} = "pre" + \\\n "{value}"'):
+        assert value not in secrets.redacted(text)
+
+
+def test_secrets_of_many_literals():
+    values = [f"Zx{i}kQ{i * i}" for i in range(200)]
+    for text in ("secret_key = " + " + ".join(f'"{v}"' for v in values), "\n".join(f'c{i} = "{v}"' for i, v in enumerate(values)) + "\nall = " + " + ".join(f"c{i}" for i in range(200)) + "\nsecret_key = all"):
+        assert not [v for v in values if f'"{v}"' in secrets.redacted(text)]
+    doubled = 'a0 = "Zx81kQ0pLm"\n' + "\n".join(f"a{i + 1} = a{i} + a{i}" for i in range(3000)) + '\nsecret_key = a3000 + "q!"'
+    assert "Zx81kQ0pLm" not in secrets.redacted(doubled)
+    for value in ("x" * 100, "<" + "aB3-" * 30 + ">", "example" + "aB3-" * 30, "x" * 70 + "aB3", "Zx81kQ0pLm", "hunter2"):
+        whole = secrets.Shape(value[:3])
+        whole += secrets.Shape(value[3:])
+        assert bool(secrets.PLACEHOLDER.match(value)) == bool(secrets.PLACEHOLDER.match(whole.sample()))
