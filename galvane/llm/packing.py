@@ -169,3 +169,9 @@ def pack(parts: DataFrame, limit: int = 1024) -> DataFrame:
         return table.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(places))
 
     return dealt.groupBy("_group").applyInArrow(run, schema)
+
+
+def pack_with_ids(parts: DataFrame, limit: int = 1024) -> DataFrame:
+    """parts (with ids and row, a number that names the piece) packed; groups hold all but the ids, which join by row."""
+    slim = pack(parts.drop("ids"), limit)
+    return slim.join(parts.select("row", "ids"), "row").drop("row")

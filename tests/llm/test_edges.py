@@ -144,3 +144,12 @@ def test_secrets_of_many_literals():
         whole = secrets.Shape(value[:3])
         whole += secrets.Shape(value[3:])
         assert bool(secrets.PLACEHOLDER.match(value)) == bool(secrets.PLACEHOLDER.match(whole.sample()))
+
+
+def test_pipeline_carries_ids(spark, odd):
+    last = corpus_pipeline.packing_stage(spark, odd, "").collect()
+    encode = packing.encoder(packing.tokenizer_path())
+    want = sorted(x for _, t in ROWS for x in [*encode(t or ""), 2])
+    assert sorted(x for r in last for x in r["ids"]) == want and all(len(r["ids"]) == r["length"] for r in last)
+    mine = sorted((r["piece"], r["ids"]) for r in last if r["doc_id"] == 5)
+    assert [x for _, ids in mine for x in ids] == [*encode(LONG), 2]
