@@ -57,7 +57,7 @@ relational("tree_proxy", f"""WITH {PAST}, {COUNTS}, x AS (SELECT cycle, i, j, 1
 SELECT cycle, i, j, round(CASE WHEN raw > 0.5D THEN least(pow(raw, 0.6D), 0.98D) ELSE greatest(pow(raw, 1.6D), 0.02D) END, 6) AS p FROM x""")
 relational("jump_baseline", f"WITH {PAST}, {COUNTS}, {JUMP}, {LEADS} SELECT cycle, i, j, lead, round(CASE WHEN jump = 1 THEN greatest(1 - exp(-(f10 / 10D) * lead), 0.85D) ELSE 1 - exp(-(f10 / 10D) * lead) END, 6) AS p FROM jumps, leads")
 relational("bulletin_baseline", f"WITH {LEADS} SELECT cycle, i, j, lead, 0.65D AS p, 0.4D AS background FROM {{v_storm}}, leads")
-relational("advection_baseline", "SELECT c.cycle, c.i, c.j, round(max(1 - exp(-0.05D * least(p.value / 255, 1D) * 30)), 6) AS p FROM {v_storm} c JOIN {v_pix} p ON p.frame = CAST(floor(c.cycle / 144) AS INT) AND abs(p.i - c.i) <= 2 AND abs(p.j - c.j) <= 2 GROUP BY c.cycle, c.i, c.j")
+relational("advection_baseline", "SELECT c.cycle, c.i, c.j, round(max(1 - exp(-0.05D * least(p.value / 255, 1D) * 30)), 6) AS p FROM {v_storm} c JOIN {v_pix} p ON p.frame = CAST(floor(c.cycle / 6) AS INT) AND abs(p.i - c.i) <= 2 AND abs(p.j - c.j) <= 2 GROUP BY c.cycle, c.i, c.j")
 relational("model_losses", """WITH x AS (SELECT lead, y, least(greatest(p, 0.0000001D), 0.9999999D) AS p FROM {v_pred})
 SELECT lead, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS bce, round(avg(CASE WHEN y = 1 THEN -0.25D * pow(1 - p, 2) * ln(p) ELSE -0.75D * pow(p, 2) * ln(1 - p) END), 6) AS focal, round(1 - (2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) AS dice FROM x GROUP BY lead""")
 
