@@ -6,6 +6,8 @@ at a time, so a task's memory follows its chunk and its longest text, not its pa
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import pickle
 import tempfile
 import uuid
@@ -22,12 +24,38 @@ _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir).
+
+    Where that is unset a local session gets a folder of its own; a cluster has to name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(work_path, "own", None) or tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
         work_path.own = root
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    for held in _held:
+        held.append(path)
+    return path
+
+
+_held: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are deleted at its end: all that is wanted must be stored elsewhere by then."""
+    own: list[str] = []
+    _held.append(own)
+    try:
+        yield
+    finally:
+        _held.remove(own)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in own:
+            where = hadoop(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -155,22 +183,49 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(ink & ~after) + 1, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(span(prefix_hash(_TABLE[data], _BASE), starts, ends, _BASE) + (ends - starts).astype(U64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each word: its bytes are taken in eight at a time, so no two words collide by their shape."""
+    size = ends - starts
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    out = mix(size.astype(U64) ^ U64(seed * _WORD_BASE & 0xFFFFFFFFFFFFFFFF))
+    for k in np.flatnonzero(size > 4096):  # few words, and too many rounds for them
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
+    live, at = np.flatnonzero(size <= 4096), 0
+    while len(live):
+        rest = size[live] - at
+        block = eight[starts[live] + at]
+        short = rest < 8
+        block[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
+        out[live] = join_hashes(out[live], block)
+        at += 8
+        live = live[rest > 8]
+    return out
+
+
+def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair, in order."""
+    return mix(mix(b + U64(_BASE)) ^ a * U64(_WORD_BASE))
 
 
 def word_grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n words in a row, by first word."""
+    """A hash of each n words in a row, by first word: of two runs of words that cover them, doubled up to there."""
     if len(hashes) < n:
         return np.zeros(0, U64)
-    h = prefix_hash(hashes, _WORD_BASE)
-    return mix((h[n:] - h[:-n]) * powers(_WORD_BASE, len(hashes))[1][: len(hashes) - n + 1])
+    width, h = 1, mix(hashes + U64(n))
+    while width < n:
+        step = min(width, n - width)
+        h = join_hashes(h[:-step], h[step:])
+        width += step
+    return h
 
 
 def whole_grams(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A hash of the words first to last, for each pair of bounds."""
-    h = prefix_hash(hashes, _WORD_BASE)
-    return mix(span(h, first, last, _WORD_BASE) + (last - first).astype(U64) * U64(0x2545F4914F6CDD1D))
+    out = mix((last - first).astype(U64) * U64(0x2545F4914F6CDD1D))
+    for k in range(int((last - first).max(initial=0))):
+        more = first + k < last
+        out[more] = join_hashes(out[more], hashes[first[more] + k])
+    return out
 
 
 def inside(n_items: int, off: np.ndarray, width: int) -> np.ndarray:
@@ -189,13 +244,13 @@ def inside(n_items: int, off: np.ndarray, width: int) -> np.ndarray:
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """The place of the smallest of each w values in a row, the first of equals.
 
-    The place stands in the low bits in lieu of the value's own, so that one minimum finds both;
+    The place stands in the low half in lieu of the value's own, so that one minimum finds both;
     which place wins depends on the w values alone.
     """
     m = len(values) - w + 1
     if m <= 0:
         return np.zeros(0, np.int64)
-    low = U64((1 << len(values).bit_length()) - 1)
+    low = U64(0xFFFFFFFF)
     keyed = np.full(len(values) + -len(values) % w, np.iinfo(U64).max, U64)
     keyed[: len(values)] = (values & ~low) | np.arange(len(values), dtype=U64)
     v = keyed.reshape(-1, w)

@@ -1,10 +1,11 @@
 """Suffix-array dedup: bytes of strings that also start earlier are removed.
 
 A string of `width` bytes that stands twice has the same anchor twice (see repeats). Around each
-such anchor the text from the first to the last window that it stands for is a stretch. Stretches
-are dealt to shards by their anchor, so equal strings meet. Of equal stretches the earliest stands
-for all; where one anchor has different stretches, the shard's suffix order (induced sorting with
-shared prefixes, its queues on disk) groups equal strings, and all but the earliest are marked.
+such anchor the text from the first to the last window that it stands for is a stretch, a row with
+its places. Stretches are dealt to shards by their anchor, so equal strings meet. Of equal stretches,
+compared byte by byte, the earliest stands for all; where one anchor has different stretches, the
+shard's suffix order (induced sorting with shared prefixes, its queues on disk) groups equal strings,
+and all but the earliest are marked.
 
 Defined results: null and empty texts are 0 bytes; matches never cross texts; a row without a
 doc_id has no place in the order and is kept whole; rows repeat as they are.
@@ -12,15 +13,15 @@ doc_id has no place in the order and is kept whole; rows repeat as they are.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from galvane.llm.common import PACKED, U64, _BASE, _TABLE, buckets_for, by_id, chunks, column_bytes, mix, prefix_hash, span
-from galvane.llm.repeats import MARKS, byte_windows, gathered, identified, keyed, mark_keys, marks_batch, owner, shared_anchors, with_marks
+from galvane.llm.common import U64, buckets_for, by_id, chunks, column_bytes
+from galvane.llm.repeats import anchor_rows, byte_windows, finished, frequent, gathered, keyed, mark_keys, marked, owner, shared, with_copies
 from galvane.llm.suffixes import suffix_order
 
 SHARD_BYTES = 6 << 20
@@ -40,20 +41,6 @@ def stretches(part: np.ndarray, poff: np.ndarray, keys: np.ndarray, windows, wid
     return h[keep], text[keep], at[head][keep], at[tail][keep]
 
 
-def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The pieces of data end to end."""
-    off = np.concatenate([[0], np.cumsum(length)])
-    return data[np.arange(off[-1]) - np.repeat(off[:-1] - start, length)]
-
-
-def shard_blob(h, content, first, length, ids, start):
-    """Stretches of one shard: each content once, its places by number."""
-    kinds, number = np.unique(content, return_inverse=True)
-    one = np.zeros(len(kinds), np.int64)
-    one[number[::-1]] = np.arange(len(number))[::-1]
-    return h[one], first[one], length[one], number.astype(np.int32), ids, start
-
-
 def blocks(group: np.ndarray, size: np.ndarray) -> Iterator[slice]:
     """Runs of whole groups of about SORT_BYTES: equal strings are always in one group."""
     ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)) if len(group) else []
@@ -64,52 +51,40 @@ def blocks(group: np.ndarray, size: np.ndarray) -> Iterator[slice]:
             a = int(b)
 
 
-def repeated_windows(docs: DataFrame, width: int = 100, gram: int = 50) -> DataFrame:
-    """(doc_id, marks): for each document, runs (first, last) of windows that also start earlier."""
-    windows = byte_windows(width, gram)
-    n, shards = buckets_for(docs), buckets_for(docs, each=SHARD_BYTES)
+STRETCH = "shard int, h bigint, content binary, ids array<bigint>, starts array<bigint>"
+
+
+def repeated_windows(docs: DataFrame, flagged: DataFrame, width: int, gram: int) -> DataFrame:
+    """doc_id, marks: for each document, runs (first, last) of windows that also start earlier."""
+    windows, shards = byte_windows(width, gram), buckets_for(docs, each=SHARD_BYTES)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, (data, off), lists = batch.column(0).to_numpy(zero_copy_only=False), column_bytes(batch.column(1)), batch.column(2)
-            found = []
+            ids, (data, off) = batch.column(0).to_numpy(zero_copy_only=False), column_bytes(batch.column(1))
+            seen: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
             for a, b, part, poff in chunks(data, off):
-                got = stretches(part, poff, mark_keys(lists, a, b), windows, width)
+                got = stretches(part, poff, mark_keys(batch.column(2), a, b), windows, width)
                 if got is None:
                     continue
                 h, text, lo, hi = got
-                content = mix(span(prefix_hash(_TABLE[part], _BASE), lo, hi + width, _BASE) ^ mix((hi - lo + 1).astype(U64)))
-                found.append((h, content, lo + off[a], hi - lo + width, ids[a + text], lo - poff[text]))
-            if not found:
-                continue
-            h, content, place, length, ids_, start = (np.concatenate(x) for x in zip(*found, strict=True))
-            shard = (h % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            rows = []
-            for i, x in enumerate(cut):
-                part = order[x : cut[i + 1] if i + 1 < len(cut) else len(order)]
-                head, first, size, number, d, s = shard_blob(h[part], content[part], place[part], length[part], ids_[part], start[part])
-                rows.append((int(shard[part[0]]), pickle.dumps((head, size, gather(data, first, size), number, d, s), protocol=5)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
+                raw = part.tobytes()
+                for anchor, x, y, doc, start in zip(h.tolist(), lo.tolist(), (hi + width).tolist(), ids[a + text].tolist(), (lo - poff[text]).tolist(), strict=True):
+                    places = seen.setdefault((anchor, raw[x:y]), ([], []))
+                    places[0].append(doc)
+                    places[1].append(start)
+            heads = np.array([k[0] for k in seen], U64)
+            cols = [pa.array((heads % U64(shards)).astype(np.int32)), pa.array(heads.view(np.int64)), pa.array([k[1] for k in seen], pa.binary())]
+            cols += [pa.array([v[i] for v in seen.values()], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "h", "content", "ids", "starts"])
 
     def judge(key, table):
         by: dict[bytes, int] = {}
-        heads, kinds, ids, starts = [], [], [], []
-        for blob in table.column("data"):
-            head, size, raw, number, d, s = pickle.loads(blob.as_py())
-            raw, off = raw.tobytes(), np.concatenate([[0], np.cumsum(size)])
-            own = np.empty(len(size), np.int64)
-            for k in range(len(size)):
-                content = raw[off[k] : off[k + 1]]
-                own[k] = by.setdefault(content, len(by))
-                if own[k] == len(heads):
-                    heads.append(head[k])
-            kinds.append(own[number])
-            ids.append(d)
-            starts.append(s)
-        kind, ids, starts = np.concatenate(kinds), np.concatenate(ids), np.concatenate(starts)
-        contents, heads = list(by), np.array(heads, U64)
+        own = np.array([by.setdefault(x, len(by)) for x in table.column("content").to_pylist()])
+        heads = np.zeros(len(by), U64)
+        heads[own] = table.column("h").to_numpy().view(U64)
+        kind = np.repeat(own, pc.list_value_length(table.column("ids")).to_numpy())
+        ids, starts = (pc.list_flatten(table.column(c)).to_numpy() for c in ("ids", "starts"))
+        contents = list(by)
         size = np.array([len(x) for x in contents])
         order = np.lexsort((starts, ids, kind))
         first = np.concatenate([[True], kind[order][1:] != kind[order][:-1]])
@@ -134,17 +109,15 @@ def repeated_windows(docs: DataFrame, width: int = 100, gram: int = 50) -> DataF
             later = order[np.concatenate([[False], run[order][1:] == run[order][:-1]])] if len(order) else order
             out.append((d[later], s[later], s[later]))
         d, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-        rows = []
-        for i, (a, b) in by_id(d, lo, hi):
-            o = np.argsort(a, kind="stable")
-            a, b = a[o], b[o]
-            new = np.concatenate([[True], a[1:] > b[:-1] + 1])
-            rows.append((i, np.stack([a[new], b[np.append(np.flatnonzero(new)[1:], len(a)) - 1]], 1).ravel()))
-        return pa.Table.from_batches([marks_batch(rows)])
+        order = np.lexsort((lo, d))
+        d, lo, hi = d[order], lo[order], hi[order]
+        new = np.ones(len(d), bool)  # windows next to each other are one run
+        new[1:] = (d[1:] != d[:-1]) | (lo[1:] > hi[:-1] + 1)
+        return pa.table({"doc_id": d[new], "first": lo[new], "last": hi[np.append(np.flatnonzero(new)[1:], len(d)) - 1] if len(d) else hi})
 
-    first = shared_anchors(docs, windows, False, n)
-    entries = identified(docs).join(first, "doc_id").select("doc_id", "text", "marks").mapInArrow(emit, PACKED)
-    return gathered(entries.groupBy("bucket").applyInArrow(judge, MARKS))
+    hot = frequent(docs, [windows])[0]
+    texts = marked(flagged, shared(anchor_rows(flagged.where("copy is null"), windows, hot), False))
+    return gathered(texts.mapInArrow(emit, STRETCH).groupBy("shard").applyInArrow(judge, "doc_id bigint, first bigint, last bigint"), "first", "last")
 
 
 def drop_repeated_bytes(docs: DataFrame, width: int = 100, gram: int = 50) -> DataFrame:
@@ -152,16 +125,21 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 100, gram: int = 50) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (data, off), lists = column_bytes(batch.column(1)), batch.column(2)
+            (data, off), lists, copy = column_bytes(batch.column(1)), batch.column(2), batch.column(3).to_pylist()
             removed, spans, kept = [], [], []
             for k in range(len(off) - 1):
-                part, marks = data[off[k] : off[k + 1]], lists[k].as_py()
-                if not marks:
+                part, marks = data[off[k] : off[k + 1]], lists[k]
+                if copy[k] and len(part) >= width:
+                    removed.append(len(part))
+                    spans.append(1)
+                    kept.append(b"")
+                    continue
+                if not marks.is_valid or not len(marks):
                     removed.append(0)
                     spans.append(0)
                     kept.append(part.tobytes())
                     continue
-                runs = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+                runs = np.stack([marks.values.field(i).to_numpy() for i in (0, 1)], 1)
                 gone = np.zeros(len(part) + 1, np.int64)
                 np.add.at(gone, runs[:, 0], 1)
                 np.add.at(gone, np.minimum(runs[:, 1] + width, len(part)), -1)
@@ -172,4 +150,5 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 100, gram: int = 50) -> Da
             cols = [pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_marks(docs, repeated_windows(docs, width, gram)).mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    flagged = with_copies(docs)
+    return finished(docs, flagged, repeated_windows(docs, flagged, width, gram)).mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
