@@ -3,7 +3,8 @@
 Source and configuration text is lexed into (name, literal) pairs around =, :, := and =>. Names
 that hold literals are constants; an expression of constants and literals is resolved through
 them. A literal is scored by how sensitive the name is that it ends up in and by the shape of all the
-literals of that expression together. Blanks around operators, line breaks after + (and before one
+literals of that expression together. A literal that a base span covers in part has a span of its own, so
+both are masked. Blanks around operators, line breaks after + (and before one
 that is indented), names, literals of an expression and chains of constants have no limit of number.
 
 Defined results: a null or empty text has no spans; rows repeat as they are; a null doc_id is
@@ -12,7 +13,9 @@ kept; other columns, whatever their names, are not read. Each text is scanned wh
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 import string
@@ -163,9 +166,12 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     if "AKIA" in text:
         base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    more = [("lex", a, b) for a, b, _ in lexed(text) if not any(a < e and s < b for _, s, e in base)] if pair else []
     by = lambda x: (x[1], KINDS.index(x[0]), x[2])
-    return sorted(base, key=by), sorted(base + more, key=by)
+    base.sort(key=by)
+    starts, ends = [s for _, s, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
+    inside = lambda a, b: (k := bisect.bisect_right(starts, a)) and ends[k - 1] >= b  # noqa: E731  of base spans
+    more = [("lex", a, b) for a, b, _ in lexed(text) if not inside(a, b)] if pair else []
+    return base, sorted(base + more, key=by)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -212,8 +218,8 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The columns of the query: counts by kind, a hash of the base spans, and all spans as text."""
-    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+    """The columns of the query: counts by kind, a hash of the base spans, all spans as text, and their number."""
+    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_spans bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +227,7 @@ def digest(docs: DataFrame) -> DataFrame:
             for doc, base, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 flat = [[(s["kind"], s["start"], s["end"]) for s in x] for x in (base, spans)]
                 n = Counter(k for k, _, _ in flat[0])
-                rows.append((doc, n["assign"], n["access"], n["hex"], hashlib.sha256(joined(flat[0]).encode()).hexdigest(), joined(flat[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                rows.append((doc, n["assign"], n["access"], n["hex"], hashlib.sha256(joined(flat[0]).encode()).hexdigest(), joined(flat[1]), len(flat[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()], strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
 
     return find_secrets(docs).mapInArrow(run, schema)
