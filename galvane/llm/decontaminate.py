@@ -1,13 +1,14 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Texts and items are compared as lower-case word characters, runs of anything else as one space. An
-item may be found with up to max_edit_rate of its length in edits. Cut into one piece more than
+Texts and items are compared as lower-case word characters, runs of anything else as one space, with
+a space before and after, so an item stands for whole words. An item may be found with up to max_edit_rate of its length in edits. Cut into one piece more than
 that budget, at least one piece of any such occurrence is exact: one automaton over the pieces of
 a block of items finds those, and Myers' bit-parallel distance verifies the text around each.
 
 Defined results: null and empty texts match nothing; items that are null or hold no word characters
-match nothing; items with one item_id are one item with several wordings; rows repeat as they are.
-Items beyond block_bytes are taken in several blocks, each a pass over the documents.
+match nothing; items with one item_id are one item with several wordings, those without one are an item each;
+rows repeat as they are. Items beyond block_bytes are taken in several blocks by item_id, each a pass
+over the documents; the rows are the same for any number of blocks.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ def normal(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
+def padded(text: str) -> str:
+    return f" {normal(text)} "
+
+
 def cut(item: str, rate: float) -> tuple[int, list[tuple[int, str]]]:
-    """The error budget of an item and its pieces with their places."""
-    budget = int(len(item) * rate)
+    """The error budget of an item (with its outer spaces) and its pieces with their places."""
+    budget = int((len(item) - 2) * rate)
     edges = [len(item) * i // (budget + 1) for i in range(budget + 2)]
     return budget, [(a, item[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -72,8 +77,8 @@ class Matcher:
 
         self.items, self.budgets, at = [], [], {}
         for item_id, text in items:
-            wording = normal(text or "")
-            if not wording:
+            wording = padded(text or "")
+            if not wording.strip():
                 continue
             budget, parts = cut(wording, rate)
             for a, piece in parts:
@@ -87,8 +92,8 @@ class Matcher:
             self.machine.make_automaton()
         self.any = bool(at)
 
-    def find(self, text: str) -> dict[int, int]:
-        """item_id: edits."""
+    def find(self, text: str) -> list[tuple[int | None, int]]:
+        """item_id and edits of each item in a padded text."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.machine.iter(text):
             for k, a in places:
@@ -99,25 +104,26 @@ class Matcher:
                     runs[-1][1] = max(runs[-1][1], hi)
                 else:
                     runs.append([lo, hi])
-        found: dict[int, int] = {}
+        found: dict[tuple[int | None, int], int] = {}
         for k, runs in windows.items():
             item_id, wording = self.items[k]
             for lo, hi in runs:
                 part = text[lo:hi]
                 edits = 0 if wording in part else myers(wording, part, self.budgets[k])
                 if edits <= self.budgets[k]:
-                    found[item_id] = min(edits, found.get(item_id, edits))
-        return found
+                    item = item_id, k if item_id is None else 0
+                    found[item] = min(edits, found.get(item, edits))
+        return [(item_id, edits) for (item_id, _), edits in found.items()]
 
 
-def leaks(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id, text_hash, item_id and edits of each item found in each row, by block; the number of blocks."""
+def leaks(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text_hash, item_id and edits of each item found in each row."""
     items = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
     out = None
     for b in range(n):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()]
+        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), "text")), F.lit(n)) == b).collect()]
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, max_edit_rate)
@@ -125,22 +131,21 @@ def leaks(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_EDIT_RAT
                 rows = []
                 for doc, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if text and matcher.any:
-                        rows += [(doc, key, item, edits) for item, edits in matcher.find(normal(text)).items()]
+                        rows += [(doc, key, item, edits) for item, edits in matcher.find(padded(text))]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "text_hash", "item_id", "edits"])
 
         found = docs.select(row_key()[0], "text", row_key()[1]).mapInArrow(run, SCHEMA)
         found = written(found, "leaks") if n > 1 else found
         out = found if out is None else out.unionByName(found)
-    return out, n
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, max_edit_rate: float = MAX_EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id and the least edits of each item found in each document."""
-    out, n = leaks(docs, items, max_edit_rate, block_bytes)
-    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits")) if n > 1 else out.drop("text_hash")
+    """doc_id, item_id and the least edits of each item found in each row."""
+    return leaks(docs, items, max_edit_rate, block_bytes).drop("text_hash")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows in which an item is found; other rows of their doc_id, or without one, stay."""
-    return without_rows(docs, leaks(docs, items)[0])
+    return without_rows(docs, leaks(docs, items))
