@@ -2,12 +2,14 @@
 
 Vectors x become whole numbers floor(64 x). One more coordinate, sqrt(M - |x|^2) with M the largest
 |x|^2, makes inner products and Euclidean distances agree: |q' - x'|^2 = M + |q|^2 - 2 q.x with 0 as
-the query's own. Rows are dealt to shards by their nearest of a bounded number of pivots, large
-pivots' rows to several. A shard is a tree of pages: routing objects with covering radii, and the
-distances of pages to the shard's pivot and of entries to their routing object. Pages are taken
-best bound first; those and entries that the stored distances and the triangle inequality rule out
-are not compared. First each query searches its own pivot's shards, then, with the score that its
-k-th best has there, the rest. Bounds are floating point with a margin; scores are exact.
+the query's own. The tree's upper level is a directory of pivots, as many as the table fills shards but
+for a bound on its bytes, each with the covering radius of its rows; a large pivot's rows make several
+shards. A shard is a tree of pages: routing objects with covering radii, and the distances of pages to
+the shard's pivot and of entries to their routing object. Each query takes its pages best bound first;
+those and entries that the stored distances and the triangle inequality rule out are not compared.
+First each query searches its own pivot's shards; then, with the score that its k-th best has there, it
+is sent to those pivots alone whose covering radius leaves them open. Bounds are floating point with a
+margin; scores are exact.
 
 Defined results: vectors that are null or hold null, NaN or infinite components, and rows without
 an id, take no part; shorter vectors count as ending in zeros; equal scores go by smaller id; rows
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from galvane.llm.common import written
 
-PIVOTS = 32
+LEAST_PIVOTS, DIRECTORY_BYTES = 32, 16 << 20
 SHARD_ROWS = 8192
-PAGES = 48
+PAGES = 16
 BLOCK = 1024
 
 
@@ -74,6 +76,11 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (a @ b.T).astype(np.int64)
 
 
+def reach(score: np.ndarray, norm2: np.ndarray, most: float) -> np.ndarray:
+    """The distance beyond which no row has that score or more with a query of that square norm."""
+    return np.sqrt(np.maximum(0, most + norm2 - 2 * score + 1e-6 * (most + norm2) + 1))
+
+
 class Tree:
     """One shard: its pages, by routing object."""
 
@@ -97,6 +104,13 @@ class Tree:
         self.parent = distances(self.routing, self.pivot)[:, 0]  # of pages to the shard's pivot
         self.cover = float((self.parent + self.radius).max())
 
+    @staticmethod
+    def asked(page: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each page with the queries whose turn it is there."""
+        order = np.argsort(page, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(page[order])) + 1):
+            yield int(page[part[0]]), part
+
     def search(self, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k of each query; none that can't beat floor need be there."""
         n = len(q)
@@ -104,8 +118,7 @@ class Tree:
         kth = floor.astype(np.float64)
         norm = (q * q).sum(1)
         lift = np.concatenate([q, np.zeros((n, 1))], 1)
-        slack = 1e-6 * (most + norm) + 1
-        far = lambda s: np.sqrt(np.maximum(0, most + norm - 2 * s + slack))  # noqa: E731  beyond it no score is s or more
+        far = lambda s: reach(s, norm, most)
         to_pivot = distances(lift, self.pivot)[:, 0]
         open_ = np.flatnonzero(to_pivot - self.cover <= far(kth))
         if not len(open_):
@@ -116,9 +129,10 @@ class Tree:
         to_page = np.full((n, len(self.pages)), np.inf)
         to_page[np.ix_(open_, some)] = distances(lift[open_], self.routing[some])
         hope[np.ix_(open_, some)] = np.maximum(rough[:, some], to_page[np.ix_(open_, some)] - self.radius[None, some])
-        for p in np.argsort(hope.min(0), kind="stable"):
+        turn = np.argsort(hope, axis=1, kind="stable")  # each query's own order of pages
+        for p, rows in ((p, rows) for k_th in range(len(self.pages)) for p, rows in self.asked(turn[:, k_th])):
             limit = far(kth)
-            rows = np.flatnonzero(hope[:, p] <= limit)
+            rows = rows[hope[rows, p] <= limit[rows]]
             if not len(rows):
                 continue
             ids, x, near = self.pages[p]
@@ -157,16 +171,18 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
     base = written(whole(rows, dims), "vectors")
     most, count = base.agg(F.max("norm2"), F.count("*")).first()
     most = float(most or 0)
-    pivots = base.select("v").orderBy(F.xxhash64("vec_id", "v"), "v").limit(PIVOTS).collect()
+    wanted = min(max(LEAST_PIVOTS, -(-count // SHARD_ROWS)), max(LEAST_PIVOTS, DIRECTORY_BYTES // (8 * dims)))
+    pivots = base.select("v").orderBy(F.xxhash64("vec_id", "v"), "v").limit(wanted).collect()
     pivot = lifted(np.array([np.frombuffer(r[0], np.float64) for r in pivots]).reshape(-1, dims), most)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = distances(lifted(matrix(batch.column(1), dims), most), pivot).argmin(1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32())], names=["vec_id", "v", "pivot"])
+            far = distances(lifted(matrix(batch.column(1), dims), most), pivot) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.argmin(1), pa.int32()), pa.array(far.min(1, initial=np.inf))], names=["vec_id", "v", "pivot", "far"])
 
-    placed = written(base.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v binary, pivot int"), "placed")
-    sizes = {r[0]: r[1] for r in placed.groupBy("pivot").count().collect()}  # PIVOTS rows at most
+    placed = written(base.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v binary, pivot int, far double"), "placed")
+    directory = placed.groupBy("pivot").agg(F.count("*"), F.max("far")).collect()  # a row for each pivot
+    sizes, radius = {r[0]: r[1] for r in directory}, {r[0]: r[2] for r in directory}
     parts = {p: math.ceil(n / SHARD_ROWS) for p, n in sizes.items()}
     first, total = {}, 0
     for p in sorted(parts):
@@ -185,8 +201,11 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
                 ids, v, piv = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), dims), batch.column(2).to_numpy(zero_copy_only=False)
                 floor = batch.column(3).to_numpy(zero_copy_only=False)
                 out = []
+                if not home and len(ids):
+                    away = distances(np.concatenate([v, np.zeros((len(v), 1))], 1), pivot)
+                    limit = reach(floor, (v * v).sum(1), most)
                 for p in own:
-                    chosen = np.flatnonzero((piv == p) == home)
+                    chosen = np.flatnonzero(piv == p if home else (piv != p) & (away[:, p] - radius[p] <= limit)) if len(ids) else ids
                     for a in range(0, len(chosen), BLOCK):
                         x = chosen[a : a + BLOCK]
                         blob = pickle.dumps((ids[x], v[x], floor[x]), protocol=5)
