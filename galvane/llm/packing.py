@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 GROUP_PIECES = 40_000
-_made: dict[str, object] = {}
+_made: dict[tuple[str, str | None], object] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,15 +32,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str):
+def ranks_path(name: str = "byte_bpe_50k.json") -> str:
+    """The same vocabulary as merge ranks."""
+    return os.path.splitext(tokenizer_path(name))[0] + ".tiktoken"
+
+
+def encoder(path: str, ranks: str | None = None):
     """A function from a text to its ids, as the tokenizer file at path gives them.
 
-    Where ranks for the same vocabulary lie beside the file, texts in Latin letters take the
-    faster merge over those ranks; it gives the same ids. All other texts, and those with the
-    tokenizer's control string, take the file itself.
+    ranks: a file with the same vocabulary as merge ranks. If it is given, texts in Latin letters take
+    the faster merge over those ranks; it gives the same ids (tests hold both against each other). All
+    other texts, and those with the tokenizer's control string, take the tokenizer file itself.
     """
-    if path in _made:
-        return _made[path]
+    if (path, ranks) in _made:
+        return _made[path, ranks]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -49,9 +54,8 @@ def encoder(path: str):
     def slow(text: str) -> list[int]:
         return whole.encode(text, add_special_tokens=False).ids
 
-    ranks = os.path.splitext(path)[0] + ".tiktoken"
-    if not os.path.exists(ranks):
-        _made[path] = slow
+    if ranks is None:
+        _made[path, ranks] = slow
         return slow
     import re
 
@@ -66,16 +70,16 @@ def encoder(path: str):
     def encode(text: str) -> list[int]:
         return slow(text) if odd.search(text) or "<|" in text else fast.encode_ordinary(text)
 
-    _made[path] = encode
+    _made[path, ranks] = encode
     return encode
 
 
-def pieces(docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2, with_ids: bool = True, ranks: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, the ids of each piece."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, ranks)
         for batch in batches:
             rows, ids_of = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -134,7 +138,7 @@ def two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
             chosen.append(size)
             gap -= size
             use(size)
-        if gap and len(chosen) > 1 and todo > len(chosen) + 1:
+        if gap and todo > len(chosen) + 1:
             least = chosen[-1]
             room = gap + least
             sizes = np.flatnonzero(have[: room + 1])

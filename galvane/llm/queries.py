@@ -112,7 +112,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = packing.pieces(read(spark, sf_dir, "documents"), packing.tokenizer_path(), with_ids=False)
+    parts = packing.pieces(read(spark, sf_dir, "documents"), packing.tokenizer_path(), with_ids=False, ranks=packing.ranks_path())
     return packing.pack(written(parts, "pieces"))
 
 
