@@ -1,7 +1,7 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of byte 4-grams.
+"""Quality classifier: an interpolated modified Kneser-Ney model of byte 5-grams.
 
 Trusted text is what labels call good and not toxic. Documents are packed by home, a hash of their
-id; each home counts the 4-grams of its trusted texts and names those of all its texts. The counts
+id; each home counts the 5-grams of its trusted texts and names those of all its texts. The counts
 of all homes are summed by gram; counts of lower orders are numbers of distinct left neighbours;
 joins by gram and by context give each gram's probability, and each home gets back its own grams.
 Trusted documents are in two halves by a hash of their id. Each half makes a model, both in the same
@@ -9,7 +9,7 @@ joins. A trusted document is scored by the half that it is not in, all others by
 so none is scored by a model that has seen it. A document's score is its mean negative log
 probability. It is rejected if that is above a quantile of its language's trusted documents.
 
-Defined results: texts under 4 bytes have no score and are kept; a null text is empty; short texts
+Defined results: texts under 5 bytes have no score and are kept; a null text is empty; short texts
 are drawn to their language's mean as if they had PRIOR more grams of it; documents that labels
 call good are kept; a half without trusted documents is a uniform model; a language without trusted documents takes the limit of all trusted ones; a
 doc_id labelled more than once is good if all its labels say so.
@@ -26,18 +26,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from galvane.llm.common import U64, buckets_for, chunks, column_bytes, inside, mix, row_key, without_rows, written
 
-ORDER = 4
-HOME_BYTES = 16 << 20
+ORDER = 5
+HOME_BYTES = 32 << 20
 PRIOR = 60
 QUANTILE = 0.98
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each 4-gram inside a text, as a number, and its place."""
+    """Each gram of ORDER bytes inside a text, as a number, and its place."""
     at = np.flatnonzero(inside(len(data), off, ORDER))
-    g = np.zeros(len(at), np.uint32)
+    g = np.zeros(len(at), np.int64)
     for i in range(ORDER):
-        g = g << np.uint32(8) | data[at + i]
+        g = g << 8 | data[at + i]
     return g, at
 
 
@@ -100,16 +100,16 @@ def home_counts(home, docs, labels):
             parts.append((rest, *np.zeros((2, len(rest)), np.int64)))
         if len(parts) > 16:
             parts = [folded()]
-    g, *c = folded() if parts else (np.zeros(0, np.uint32), *np.zeros((2, 0), np.int64))
+    g, *c = folded() if parts else (np.zeros(0, np.int64), *np.zeros((2, 0), np.int64))
     key = home[0].as_py() if home[0] is not None else None
-    return pa.table({"home": pa.array(np.full(len(g), key), pa.int32()), "gram": pa.array(g.astype(np.int64)), "n0": pa.array(c[0]), "n1": pa.array(c[1])})
+    return pa.table({"home": pa.array(np.full(len(g), key), pa.int32()), "gram": pa.array(g), "n0": pa.array(c[0]), "n1": pa.array(c[1])})
 
 
 def home_scores(home, docs, answers):
     """doc_id, text_hash, lang, n of each document of the home, its cost by the half that it is not in, and the mean of both."""
     known = answers.column("gram").to_numpy()
     order = np.argsort(known)
-    known, costs = known[order].astype(np.uint32), np.stack([answers.column(f"cost{h}").to_numpy()[order] for h in (0, 1)])
+    known, costs = known[order], np.stack([answers.column(f"cost{h}").to_numpy()[order] for h in (0, 1)])
     out = []
     for ids, langs, hashes, off, data in unpacked_home(docs):
         n, total = np.zeros(len(ids), np.int64), np.zeros((2, len(ids)))

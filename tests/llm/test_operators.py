@@ -147,7 +147,7 @@ def test_quality(spark):
     d = spark.createDataFrame([(i, good * 5, "en") for i in range(20)] + [(50, "#$%^ &*!! @@ ~~ || {}{} <>" * 20, "en"), (51, None, None), (52, good * 4, "de")], "doc_id bigint, text string, lang string")
     l = spark.createDataFrame([(i, 1, 0) for i in range(15)], "doc_id bigint, quality int, toxic int")
     assert [r[0] for r in rows(quality.judged(d, l).where("not keep"), "doc_id")] == [50]
-    costs = quality.model_costs(spark.createDataFrame([(0x61616161 + i, n) for i, n in enumerate((5, 2, 1, 1, 0))], "gram bigint, n bigint")).collect()
+    costs = quality.model_costs(spark.createDataFrame([(0x6161616161 + i, n) for i, n in enumerate((5, 2, 1, 1, 0))], "gram bigint, n bigint")).collect()
     assert len(costs) == 5 and all(r["cost"] > 0 for r in costs)
 
 
