@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galvane.plans.relational import BOX, COUNTS, JUMP, NEXT, OFFSETS, PAST, TRACK, relational
+from galvane.plans.relational import BOX, COUNTS, FIELDS, JUMP, NEXT, OVERLAP, PAST, TILES, TRACK, relational
 
 EIGHT = "(VALUES (0), (1), (2), (3), (4), (5), (6), (7))"
 LEADS = "leads AS (SELECT * FROM (VALUES (15), (30), (45), (60)) AS t(lead))"
@@ -39,7 +39,7 @@ relational("atom_feed", f"WITH {ALERT}, {STAGED}, {CAP} SELECT o_orderkey, conca
 TENTHS = "concat(CAST(CAST(floor({x} / 10) AS INT) AS STRING), '.', CAST({x} % 10 AS STRING))"
 relational("geojson_blocks", f"""WITH b AS (SELECT *, CAST(floor(lat0 * 10 + 0.5D) AS INT) AS y, CAST(floor(lon0 * 10 + 0.5D) AS INT) AS x FROM {{v_block}})
 SELECT s_suppkey, concat(chr(123), '"type":"Feature","properties":', chr(123), '"district":"', district, '","population":', CAST(population AS STRING), chr(125), ',"geometry":', chr(123), '"type":"Point","coordinates":[', {TENTHS.format(x="x")}, ',', {TENTHS.format(x="y")}, ']', chr(125), chr(125)) AS feature FROM b""")
-relational("region_name", """WITH o AS (SELECT c.cycle, c.i, c.j, b.s_suppkey, b.state, b.district, b.block, round((least(b.lat1, c.lat + 0.05D) - greatest(b.lat0, c.lat - 0.05D)) * (least(b.lon1, c.lon + 0.05D) - greatest(b.lon0, c.lon - 0.05D)) / 0.01D, 4) AS fraction FROM {v_storm} c JOIN {v_block} b ON b.lat0 < c.lat + 0.0499D AND b.lat1 > c.lat - 0.0499D AND b.lon0 < c.lon + 0.0499D AND b.lon1 > c.lon - 0.0499D),
+relational("region_name", f"""WITH {OVERLAP},
 k AS (SELECT *, row_number() OVER (PARTITION BY cycle, i, j ORDER BY fraction DESC, s_suppkey) AS k FROM o),
 g AS (SELECT cycle, i, j, count(*) AS n, count(DISTINCT district) AS nd, max(CASE WHEN k = 1 THEN state END) AS state, max(CASE WHEN k = 1 THEN district END) AS d1, max(CASE WHEN k = 2 THEN district END) AS d2, max(CASE WHEN k = 3 THEN district END) AS d3, max(CASE WHEN k = 1 THEN block END) AS b1, max(CASE WHEN k = 2 THEN block END) AS b2, max(CASE WHEN k = 3 THEN block END) AS b3 FROM k GROUP BY cycle, i, j),
 e AS (SELECT *, least(d1, coalesce(d2, d1), coalesce(d3, d1)) AS lo, greatest(d1, coalesce(d2, d1), coalesce(d3, d1)) AS hi FROM g)
@@ -66,8 +66,12 @@ relational("three_tier", "SELECT lead, count(*) AS n, round(avg(sqrt(p * (1 - p)
 relational("sensor_confidence", "SELECT cycle, round(least(greatest(0.35D + 0.12D * greatest(0, count(DISTINCT modality) - 1) - 0.05D * count(*) FILTER (WHERE value > 450), 0.05D), 0.9D), 6) AS confidence FROM {v_obs} GROUP BY cycle")
 relational("lagrangian_decay", "SELECT p.frame, p.i, p.j, round(0.05D + (coalesce(q.value, 0D) / 500 - 0.05D) * exp(-30 / 60D), 6) AS p FROM {v_pix} p LEFT JOIN {v_pix} q ON q.frame = p.frame AND q.i = greatest(p.i - 1, 0) AND q.j = least(p.j + 1, 9)")
 relational("lifecycle_tau", f"WITH t AS ({TRACK}) SELECT track, b, CASE WHEN k = 1 THEN 45D WHEN area - area_0 >= 2 AND intensity > int_0 THEN 60D WHEN area - area_0 <= -2 AND intensity < int_0 THEN 60D WHEN k >= 3 THEN 75D ELSE 60D END AS tau FROM t")
-relational("fss_sliding", f"""WITH {OFFSETS}, h AS (SELECT p.frame, p.i + di AS i, p.j + dj AS j, CAST(sum(CASE WHEN value >= 200 THEN 1 ELSE 0 END) AS DOUBLE) / 9 AS f, CAST(sum(CASE WHEN value >= 150 THEN 1 ELSE 0 END) AS DOUBLE) / 9 AS o FROM {{v_pix}} p, d GROUP BY 1, 2, 3)
-SELECT frame, round(1 - sum(pow(f - o, 2)) / nullif(sum(f * f) + sum(o * o), 0), 6) AS fss FROM h WHERE i BETWEEN 0 AND 9 AND j BETWEEN 0 AND 9 GROUP BY frame""")
+# Fractions in windows of 10, 30 and 50 km (1, 3 and 5 pixels), zero outside the grid, clipped to 0..1.
+SHIFTS = "(VALUES (-2), (-1), (0), (1), (2))"
+relational("fss_sliding", f"""WITH {FIELDS}, x AS (SELECT frame, i, j, CASE WHEN p >= 0.35D THEN 1 ELSE 0 END AS f, CASE WHEN q >= 0.35D THEN 1 ELSE 0 END AS o FROM fc),
+r AS (SELECT * FROM (VALUES (10, 0), (30, 1), (50, 2)) AS t(km, r)),
+h AS (SELECT frame, km, i + a.s AS i, j + b.s AS j, sum(f) / pow(2 * r + 1, 2) AS f, sum(o) / pow(2 * r + 1, 2) AS o, max(abs(f - o) * CASE WHEN a.s = 0 AND b.s = 0 THEN 1 ELSE 0 END) AS differ FROM x, r, {SHIFTS} AS a(s), {SHIFTS} AS b(s) WHERE abs(a.s) <= r AND abs(b.s) <= r AND i + a.s BETWEEN 0 AND 9 AND j + b.s BETWEEN 0 AND 9 GROUP BY frame, km, r, i + a.s, j + b.s)
+SELECT frame, km, round(CASE WHEN sum(f * f + o * o) > 0 THEN least(greatest(1 - sum(pow(f - o, 2)) / sum(f * f + o * o), 0D), 1D) WHEN max(differ) = 0 THEN 1D ELSE 0D END, 6) AS fss FROM h GROUP BY frame, km""")
 relational("render_bands", """WITH x AS (SELECT frame, i, j, value / 500 AS p FROM {v_pix})
 SELECT frame, i, j, CASE WHEN p <= 0.2D THEN 46 WHEN p <= 0.4D THEN 241 WHEN p <= 0.6D THEN 230 ELSE 192 END AS r, CASE WHEN p <= 0.2D THEN 204 WHEN p <= 0.4D THEN 196 WHEN p <= 0.6D THEN 126 ELSE 57 END AS g, CASE WHEN p <= 0.05D THEN 0 ELSE CAST(floor(60 + 180 * least(p, 1D)) AS INT) END AS a FROM x""")
 
@@ -82,7 +86,7 @@ STATIONS = f"st AS (SELECT d AS station, 25.3D + 0.1D * d AS slat, 84.1D + 0.1D
 relational("range_rings", f"""WITH {STATIONS}, used AS (SELECT DISTINCT station FROM {{v_obs}} WHERE modality = 'radar'), n AS (SELECT a.d * 8 + b.d AS n FROM {EIGHT} AS a(d), {EIGHT} AS b(d))
 SELECT s.station, n.n, round(slat + 250 / 111.32D * sin(radians(n.n * 5.625D)), 5) AS lat, round(slon + 250 / (111.32D * cos(radians(slat))) * cos(radians(n.n * 5.625D)), 5) AS lon FROM st s JOIN used u ON s.station = u.station, n""")
 relational("polar_gate", f"""WITH {STATIONS}, x AS (SELECT o.event_id, o.station, (lon - slon) * 111.32D * cos(radians(slat)) AS x, (lat - slat) * 111.32D AS y FROM {{v_obs}} o JOIN st ON o.station = st.station WHERE modality = 'radar')
-SELECT event_id, station, CAST(floor(CASE WHEN x < 0 THEN degrees(atan2(x, y)) + 360 ELSE degrees(atan2(x, y)) END + 0.4999D) AS INT) % 360 AS az_idx, CAST(floor(sqrt(x * x + y * y) * 4 + 0.4999D) AS INT) AS rg_idx FROM x""")
+SELECT event_id, station, CAST(bround(CASE WHEN x < 0 THEN degrees(atan2(x, y)) + 360 ELSE degrees(atan2(x, y)) END, 0) AS INT) % 360 AS az_idx, CAST(bround(sqrt(x * x + y * y) * 4, 0) AS INT) AS rg_idx FROM x""")
 relational("station_coverage", f"WITH {STATIONS}, g AS (SELECT DISTINCT i, j FROM {{v_pix}}) SELECT station, count(*) AS pixels FROM g JOIN st ON {KM.format(a='slat', b='(26D - 0.1D * i)', c='slon', d='(84D + 0.1D * j)')} <= 40.5D GROUP BY station")
 relational("volume_max", "SELECT cycle, i, j, round(max(least(value, 75D)), 6) AS maxz, max(CASE WHEN value >= 5 THEN 1 ELSE 0 END) AS covered FROM {v_obs} WHERE modality = 'radar' GROUP BY cycle, i, j")
 relational("equal_area", """WITH x AS (SELECT event_id, radians(lat) AS f, radians(lon - 84.5D) AS l, radians(25D) AS f0 FROM {v_obs}),
@@ -101,9 +105,9 @@ relational("augment", "SELECT 'flip_h' AS kind, frame, i, 9 - j AS j, value FROM
 relational("flash_bursts", """WITH g AS (SELECT i, j, s, CASE WHEN s - lag(s) OVER w > 1800 OR lag(s) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM {v_flash} WINDOW w AS (PARTITION BY i, j ORDER BY s, event_id)),
 b AS (SELECT i, j, s, sum(fresh) OVER (PARTITION BY i, j ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g) SELECT i, j, CAST(burst AS BIGINT) AS burst, count(*) AS flashes, round(max(s) - min(s), 3) AS seconds FROM b GROUP BY i, j, burst""")
 relational("qc_time_flags", "WITH t AS (SELECT modality AS m, max(s) AS top FROM {v_obs} GROUP BY modality) SELECT modality, count(*) FILTER (WHERE top - s > 5400) AS stale, count(*) FILTER (WHERE s - top > 300) AS ahead, count(*) AS n FROM {v_obs} JOIN t ON modality = m GROUP BY modality")
-relational("percentiles", "SELECT modality, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY value), 6) AS background, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY value), 6) AS p99 FROM {v_obs} GROUP BY modality")
+relational("percentiles", "SELECT modality, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY value), 6) AS background, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY value), 6) AS p99, round(avg(value), 6) AS mean, round(max(value), 6) AS top FROM {v_obs} GROUP BY modality")
 relational("lut_kelvin", f"WITH lut AS (SELECT a.d * 8 + b.d AS count_in, 330 - 2.5D * (a.d * 8 + b.d) AS kelvin FROM {EIGHT} AS a(d), {EIGHT} AS b(d)) SELECT event_id, kelvin FROM {{v_obs}} JOIN lut ON count_in = CAST(least(greatest(floor(value / 8), 0D), 63D) AS INT) WHERE modality = 'satellite'")
 relational("split_window", "SELECT cycle, i, j, round(max(CASE WHEN station % 2 = 0 THEN value END) - max(CASE WHEN station % 2 = 1 THEN value END), 6) AS difference FROM {v_obs} WHERE modality = 'satellite' GROUP BY cycle, i, j")
 relational("settled_by_box", f"WITH {NEXT} SELECT c.cycle, c.i, c.j FROM {{v_storm}} c WHERE EXISTS (SELECT 1 FROM ahead f WHERE f.at = c.cycle AND {BOX.format(r='5.0D')})")
 relational("fallback_usage", "WITH c AS (SELECT cycle, CASE WHEN count(DISTINCT modality) = 5 THEN 'FUSION' WHEN count(*) FILTER (WHERE modality = 'radar') > 0 AND count(*) FILTER (WHERE modality = 'model') > 0 THEN 'PHYSICS' WHEN count(*) FILTER (WHERE modality = 'lightning') > 0 THEN 'PERSISTENCE' ELSE 'CLIMATOLOGY' END AS rung FROM {v_obs} GROUP BY cycle) SELECT rung, count(*) AS cycles FROM c GROUP BY rung")
-relational("districts_first_seen", "SELECT b.state, b.district, min(f.s) AS first_s, count(*) AS flashes FROM {v_flash} f JOIN {v_block} b ON f.lat > b.lat0 + 0.001D AND f.lat < b.lat1 + 0.001D AND f.lon > b.lon0 + 0.001D AND f.lon < b.lon1 + 0.001D GROUP BY b.state, b.district")
+relational("districts_first_seen", f"WITH {TILES} SELECT b.state, b.district, min(f.s) AS first_s, count(*) AS flashes FROM {{v_flash}} f JOIN bt b ON b.ty = CAST(floor(f.lat * 5) AS INT) AND b.tx = CAST(floor(f.lon * 5) AS INT) AND f.lat > b.lat0 + 0.001D AND f.lat < b.lat1 + 0.001D AND f.lon > b.lon0 + 0.001D AND f.lon < b.lon1 + 0.001D GROUP BY b.state, b.district")
