@@ -14,8 +14,8 @@ KM_PER_DEG = 111.32
 Q, R, P0 = 0.8, 0.005**2, (0.01**2, 0.01**2, 1.0, 1.0)
 
 
-def label_components(frame: pd.DataFrame) -> pd.DataFrame:
-    """i, j of pixels that are set -> label: 4-connected, numbered in row-major order of first pixel."""
+def label_components(frame: pd.DataFrame, corners: bool = False) -> pd.DataFrame:
+    """i, j of pixels that are set -> label: 4-connected (corners: 8-connected), numbered in row-major order of first pixel."""
     cells = sorted(zip(frame["i"].tolist(), frame["j"].tolist(), strict=True))
     label: dict[tuple[int, int], int] = {}
     todo, n = set(cells), 0
@@ -28,7 +28,7 @@ def label_components(frame: pd.DataFrame) -> pd.DataFrame:
         while stack:
             i, j = stack.pop()
             label[i, j] = n
-            for near in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
+            for near in ways(i, j, corners):
                 if near in todo:
                     todo.discard(near)
                     stack.append(near)
@@ -37,6 +37,11 @@ def label_components(frame: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def ways(i: int, j: int, corners: bool) -> list[tuple[int, int]]:
+    """The pixels next to one."""
+    return [(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (corners or not a or not b)]
+
+
 def track_cells(rows: pd.DataFrame, gate_kmh: float = 120.0, step_h: float = 1 / 6) -> pd.DataFrame:
     """Greedy matching, in the order of detections, to the last cycle's nearest unmatched cell in the gate.
 
@@ -48,25 +53,23 @@ def track_cells(rows: pd.DataFrame, gate_kmh: float = 120.0, step_h: float = 1 /
         if last is not None and cycle != last + 1:
             previous = []  # no coasting over a missing cycle
         last, taken, current = cycle, set(), []
-        parents: dict[int, int] = {}
         for r in now.itertuples():
             near = sorted((np.hypot(r.lat - p["lat"], r.lon - p["lon"]), k) for k, p in enumerate(previous))
             match = next((k for d, k in near if k not in taken and d <= gate), None)
-            merged = match is not None and any(k != match and k not in taken and d <= 1.2 * gate for d, k in near)
+            others = [k for d, k in near if match is not None and k != match and k not in taken and d <= 1.2 * gate]
             split = match is None and any(d <= 1.5 * gate for d, _ in near)
             if match is None:
                 number += 1
                 cell = {"id": f"C{number:04d}", "age": 0, "x": np.array([r.lat, r.lon, 0.0, 0.0]), "p": np.diag(P0)}
             else:
-                taken.add(match)
-                parents[match] = r.label
+                taken |= {match, *others}  # cells that merge into this one are used up
                 old = previous[match]
                 x, p = filtered(old["x"], old["p"], np.array([r.lat, r.lon]), step_h)
                 cell = {"id": old["id"], "age": old["age"] + 1, "x": x, "p": p}
             cell |= {"lat": r.lat, "lon": r.lon}
             current.append(cell)
             v = cell["x"][2] * KM_PER_DEG, cell["x"][3] * KM_PER_DEG * np.cos(np.radians(r.lat))
-            out.append((int(cycle), int(r.label), cell["id"], cell["age"], bool(merged), bool(split), round(float(np.hypot(*v)), 6)))
+            out.append((int(cycle), int(r.label), cell["id"], cell["age"], bool(others), bool(split), round(float(np.hypot(*v)), 6)))
         previous = current
     return pd.DataFrame(out, columns=["cycle", "label", "cell_id", "age", "merged", "split", "speed_kmh"])
 
@@ -83,26 +86,31 @@ def filtered(x: np.ndarray, p: np.ndarray, seen: np.ndarray, dt: float) -> tuple
 
 
 class Suppressor:
-    """Which alerts go out, for rows sorted by key and time: of the earlier ones of the key that went
-    out, the newest within the window suppresses, unless the stage rose; then the new one supersedes it.
+    """Which alerts go out, for rows sorted by event, preset and time.
+
+    Of the alerts of the event and preset that went out, the newest within the window that has the
+    cell, the region or any block in common decides: a jump that it did not have, or a higher stage,
+    makes an update that supersedes it, all else is suppressed.
 
-    rows: cell, preset, o_orderkey, minute, stage. Only the last one sent of the current key is held.
+    rows: event, preset, id, minute, cell, region, blocks, stage, jump. Only alerts within the window are held.
     """
 
     def __init__(self, minutes: float = 45.0):
-        self.minutes, self.key, self.sent = minutes, None, None
+        self.minutes, self.key, self.sent = minutes, None, []
 
     def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples():
-            if (r.cell, r.preset) != self.key:
-                self.key, self.sent = (r.cell, r.preset), None
-            old = self.sent if self.sent is not None and r.minute - self.sent[0] < self.minutes else None
-            verdict = "alert" if old is None else "update" if r.stage > old[1] else "suppressed"
+            if (r.event, r.preset) != self.key:
+                self.key, self.sent = (r.event, r.preset), []
+            self.sent = [x for x in self.sent if r.minute - x.minute < self.minutes]
+            own = set(r.blocks)
+            old = next((x for x in reversed(self.sent) if x.cell == r.cell or x.region == r.region or own & set(x.blocks)), None)
+            verdict = "alert" if old is None else "update" if r.jump and not old.jump or r.stage > old.stage else "suppressed"
             if verdict != "suppressed":
-                self.sent = (r.minute, r.stage, r.o_orderkey)
-            out.append((r.o_orderkey, verdict, old[2] if verdict == "update" else None))
-        return pd.DataFrame(out, columns=["o_orderkey", "verdict", "supersedes"]).astype({"supersedes": "Int64"})
+                self.sent.append(r)
+            out.append((r.event, r.preset, r.id, verdict, old.id if verdict == "update" else None))
+        return pd.DataFrame(out, columns=["event", "preset", "id", "verdict", "supersedes"]).astype({"supersedes": "Int64"})
 
 
 def pava(score: np.ndarray, weight: np.ndarray, mean: np.ndarray) -> tuple[list[float], list[float]]:
@@ -118,7 +126,8 @@ def pava(score: np.ndarray, weight: np.ndarray, mean: np.ndarray) -> tuple[list[
 
 
 def fit_isotonic(rows: pd.DataFrame) -> pd.DataFrame:
-    """rows: lead, p, n, mean (one for each distinct score) -> lead, ord, threshold, value."""
-    rows = rows.sort_values("p")
-    edges, values = pava(rows["p"].to_numpy(), rows["n"].to_numpy(), rows["mean"].to_numpy())
+    """rows: lead, p, n, mean -> lead, ord, threshold, value; of knots at one score the last stays."""
+    rows = rows.sort_values(["p", "mean"])
+    knots = dict(zip(*pava(rows["p"].to_numpy(), rows["n"].to_numpy(), rows["mean"].to_numpy()), strict=True))
+    edges, values = list(knots), list(knots.values())
     return pd.DataFrame({"lead": rows["lead"].iloc[0], "ord": range(len(edges)), "threshold": edges, "value": np.round(values, 6)})

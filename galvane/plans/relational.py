@@ -10,14 +10,18 @@ from galvane.sources import views
 BOX = "abs(f.lat - c.lat) <= {r} / 111.32D AND abs(f.lon - c.lon) <= {r} / (111.32D * cos(radians(c.lat)))"
 
 
+def duck_words(text: str) -> str:
+    """Spark's double literals and rounding in DuckDB's words."""
+    return re.sub(r"(?<![\w.])(\d+(?:\.\d+)?)D\b", r"(\1::DOUBLE)", text.replace("bround(", "round_even("))
+
+
 def for_duckdb(text: str) -> str:
     """text with its views as common tables."""
     used = set(re.findall(r"\{(v_\w+)\}", text))
     if used & {"v_flash", "v_pix", "v_storm", "v_cell"}:
         used.add("v_obs")
     heads = ", ".join(f"{v} AS ({views.DUCK[v]})" for v in views.DUCK if v in used)
-    text = text.replace("bround(", "round_even(")
-    body = re.sub(r"(?<![\w.])(\d+(?:\.\d+)?)D\b", r"(\1::DOUBLE)", re.sub(r"\{(v_\w+)\}", r"\1", text)).strip()
+    body = duck_words(re.sub(r"\{(v_\w+)\}", r"\1", text)).strip()
     return f"WITH {heads}, {body[5:]}" if body.startswith("WITH ") else f"WITH {heads} {body}"
 
 

@@ -6,18 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from galvane.operators import kernels
 from galvane.plans.catalog import query
-from galvane.plans.relational import for_duckdb
+from galvane.plans.nowcast import CRITERIA, SCORED
+from galvane.plans.relational import COUNTS, HIT, JUMP, OVERLAP, PAST, duck_words, for_duckdb
 from galvane.sources import views
 
-CC_SQL = for_duckdb("""WITH RECURSIVE m AS (SELECT frame, i, j, i * 10 + j AS id FROM {v_pix} WHERE value >= 60),
-r AS (SELECT frame, id, i, j, id AS seed FROM m UNION SELECT m.frame, m.id, m.i, m.j, r.seed FROM r JOIN m ON m.frame = r.frame AND abs(m.i - r.i) + abs(m.j - r.j) = 1),
+def cc_sql(mask: str, near: str = "abs(m.i - r.i) + abs(m.j - r.j) = 1") -> str:
+    """DuckDB: components of mask (a query of frame, i, j); near: when are two pixels next to each other?"""
+    body = f"""SELECT * FROM (WITH RECURSIVE m AS (SELECT frame, i, j, i * 10 + j AS id FROM ({mask})),
+r AS (SELECT frame, id, i, j, id AS seed FROM m UNION SELECT m.frame, m.id, m.i, m.j, r.seed FROM r JOIN m ON m.frame = r.frame AND {near}),
 c AS (SELECT frame, id, i, j, min(seed) AS seed FROM r GROUP BY ALL)
-SELECT frame, i, j, CAST(dense_rank() OVER (PARTITION BY frame ORDER BY seed) AS INT) AS label FROM c""").replace("WITH v_obs", "WITH RECURSIVE v_obs", 1).replace(", RECURSIVE m", ", m").replace(", SIVE m", ", m")
+SELECT frame, i, j, CAST(dense_rank() OVER (PARTITION BY frame ORDER BY seed) AS INT) AS label FROM c) AS cc"""
+    return body
+
+
+AT_60, AT_200 = (for_duckdb(f"SELECT frame, i, j FROM {{v_pix}} WHERE value >= {x}") for x in (60, 200))
+CC_SQL = cc_sql(AT_60)
+EIGHT_WAYS = "greatest(abs(m.i - r.i), abs(m.j - r.j)) = 1"
 
 
 def components(spark: SparkSession, sf_dir: str, threshold: float = 60.0) -> DataFrame:
     mask = views.v_pix(spark, sf_dir).where(F.col("value") >= threshold).select("frame", "i", "j")
-    return mask.groupBy("frame").applyInPandas(kernels.label_components, "frame int, i int, j int, label int")
+    return mask.groupBy("frame").applyInPandas(lambda x: kernels.label_components(x), "frame int, i int, j int, label int")
 
 
 @query("cc_components", CC_SQL)
@@ -25,13 +34,55 @@ def cc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, sf_dir)
 
 
-@query("cell_stats", CC_SQL.replace("SELECT frame, i, j, CAST(dense_rank()", "SELECT frame, label, count(*) AS area, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM (SELECT frame, i, j, CAST(dense_rank()") + ") GROUP BY frame, label HAVING count(*) >= 2")
+STATS_SQL = f"""SELECT c.frame, label, count(*) AS area, min(c.i) AS i0, max(c.i) AS i1, min(c.j) AS j0, max(c.j) AS j1, round(max(value), 6) AS top, round(avg(value), 6) AS mean
+FROM ({CC_SQL}) c JOIN ({for_duckdb("SELECT * FROM {v_pix}")}) p ON p.frame = c.frame AND p.i = c.i AND p.j = c.j GROUP BY c.frame, label HAVING count(*) >= 2"""
+
+
+@query("cell_stats", STATS_SQL)
 def cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = components(spark, sf_dir).groupBy("frame", "label")
-    return by.agg(F.count("*").alias("area"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).where("area >= 2")
+    by = components(spark, sf_dir).join(views.v_pix(spark, sf_dir), ["frame", "i", "j"]).groupBy("frame", "label")
+    box = [F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")]
+    return by.agg(F.count("*").alias("area"), *box, F.round(F.max("value"), 6).alias("top"), F.round(F.avg("value"), 6).alias("mean")).where("area >= 2")
+
+
+@query("cc_components_8", cc_sql(AT_200, EIGHT_WAYS))
+def cc_components_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners join too."""
+    mask = views.v_pix(spark, sf_dir).where("value >= 200").select("frame", "i", "j")
+    return mask.groupBy("frame").applyInPandas(lambda x: kernels.label_components(x, corners=True), "frame int, i int, j int, label int")
+
+
+CI_PIXELS = f"WITH {CRITERIA} SELECT frame, i, j, ir, cooling, ir_wv, split FROM ci"
+CLUSTER = """p AS (SELECT *, least(greatest({scored}, 0.4D), 0.98D) AS raw FROM (SELECT frame, label, count(*) AS pixels, avg(i) AS ci, avg(j) AS cj, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, avg(cooling) AS cooling, min(ir) AS ir, avg(ir_wv) AS ir_wv, avg(split) AS split FROM {labelled} GROUP BY frame, label) x),
+lead AS (SELECT *, least(greatest(CAST(bround(45 - 30 * ((raw - 0.4D) / 0.45D), 0) AS INT), 15), 45) AS lead FROM p)
+SELECT frame, label, pixels, round(ci, 6) AS ci, round(cj, 6) AS cj, i0, i1, j0, j1, round(cooling, 6) AS cooling, round(ir, 6) AS ir, round(raw, 6) AS p, lead, round(pixels * 11.1D * 11.1D * cos(radians(25.55D)), 6) AS area FROM lead"""
+CI_LABELLED = f"""SELECT l.label, x.* FROM ({cc_sql("SELECT frame, i, j FROM (" + for_duckdb(CI_PIXELS) + ")", EIGHT_WAYS)}) l JOIN ({for_duckdb(CI_PIXELS)}) x ON x.frame = l.frame AND x.i = l.i AND x.j = l.j"""
+CI_SQL = f"WITH labelled AS ({CI_LABELLED}), " + duck_words(CLUSTER.format(scored=SCORED, labelled="labelled"))
+
 
+@query("initiation_clusters", CI_SQL)
+def initiation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels that meet the criteria as 8-connected clusters with their probability, lead and area."""
+    names = ("v_pix", "v_storm")
+    pixels = spark.sql(CI_PIXELS, **{v: views.VIEWS[v](spark, sf_dir) for v in names})
+    schema = "frame int, i int, j int, ir double, cooling double, ir_wv double, split double, label int"
+    labelled = pixels.groupBy("frame").applyInPandas(lambda x: kernels.label_components(x, corners=True), schema)
+    return spark.sql("WITH " + CLUSTER.format(scored=SCORED, labelled="{labelled}"), labelled=labelled)
 
-CORES_SQL = f"""WITH b AS ({CC_SQL}), k AS ({CC_SQL.replace("value >= 60", "value >= 200")}),
+
+OFFSETS_9 = ", ".join(f"({k})" for k in range(-9, 10))
+PLUMES = f"""leads AS (SELECT * FROM (VALUES (15), (30), (45), (60)) AS t(lead)), d AS (SELECT a.o AS di, b.o AS dj FROM (VALUES {OFFSETS_9}) AS a(o), (VALUES {OFFSETS_9}) AS b(o)),
+k AS (SELECT frame, l.lead, CAST(floor(ci + 0.5D) AS INT) + di AS i, CAST(floor(cj + 0.5D) AS INT) + dj AS j, ci, cj, p * exp(-0.5D * pow((c.lead - l.lead) / 15D, 2)) AS top, greatest(1.5D, sqrt(greatest(10D, area) / (pi() * 100))) AS r FROM clusters c, leads l, d WHERE abs(c.lead - l.lead) <= 25)
+SELECT frame, lead, i, j, round(1 - exp(sum(ln(1 - least(top * exp(-0.5D * (pow((i - ci) / r, 2) + pow((j - cj) / r, 2))), 0.999D)))), 6) AS prob FROM k WHERE i BETWEEN 0 AND 9 AND j BETWEEN 0 AND 9 GROUP BY frame, lead, i, j"""
+
+
+@query("initiation_grid", f"WITH clusters AS ({CI_SQL}), {duck_words(PLUMES)}")
+def initiation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plumes of clusters whose lead is within 25 minutes of the one asked for, as a union of probabilities."""
+    return spark.sql("WITH clusters AS (SELECT * FROM {found}), " + PLUMES, found=initiation_clusters(spark, sf_dir))
+
+
+CORES_SQL = f"""WITH b AS ({CC_SQL}), k AS ({cc_sql(AT_200)}),
 c AS (SELECT b.frame, b.label, k.label AS core, avg(b.i) AS ci, avg(b.j) AS cj FROM b JOIN k ON b.frame = k.frame AND b.i = k.i AND b.j = k.j GROUP BY ALL HAVING count(*) >= 2),
 m AS (SELECT *, count(*) OVER (PARTITION BY frame, label) AS cores FROM c),
 d AS (SELECT b.*, coalesce(core, 0) AS core, row_number() OVER (PARTITION BY b.frame, b.i, b.j ORDER BY round(pow(b.i - ci, 2) + pow(b.j - cj, 2), 9), core) AS nth FROM b LEFT JOIN m ON m.frame = b.frame AND m.label = b.label AND cores >= 2)
@@ -64,26 +115,39 @@ def track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event").applyInPandas(one, "event bigint, cycle bigint, label int, cell_id string, age int, merged boolean, split boolean, speed_kmh double")
 
 
-@query("alert_suppression")
-def alert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p")
-    stage = F.when(p >= 0.7, 3).when(p >= 0.5, 2).when(p >= 0.25, 1).otherwise(0)
-    rows = views.v_alert(spark, sf_dir).withColumn("stage", stage).where("stage > 0").select("cell", "preset", "o_orderkey", "minute", "stage")
+ALERTS = """WITH p AS (SELECT * FROM (VALUES ('protective', 0.6D, 0.3D, 0.15D, 0.2D), ('operational', 0.7D, 0.5D, 0.2D, 0.35D)) AS t(preset, red, orange, yellow, least_confidence)),
+g AS (SELECT cycle, i, j, max_by(district, fraction * 1000 - s_suppkey / 1000000D) AS region, array_sort(collect_set(s_suppkey)) AS blocks, sum(exposed) AS exposed FROM hit GROUP BY cycle, i, j),
+c AS (SELECT c.cycle, c.i, c.j, jump, least(c.intensity / 250, 0.98D) AS p, least(greatest(0.35D + c.f30 / 20D, 0.05D), 0.9D) AS confidence FROM jumps c),
+s AS (SELECT c.*, p.preset, CASE WHEN jump = 1 OR c.p >= red THEN 3 WHEN c.p >= orange THEN 2 WHEN c.p >= yellow THEN 1 ELSE 0 END AS stage FROM c, p WHERE confidence >= least_confidence)
+SELECT CAST(floor(s.cycle / 144) AS BIGINT) AS event, s.preset, s.cycle * 100 + s.i * 10 + s.j AS id, s.cycle * 10D AS minute, CAST(s.i * 10 + s.j AS BIGINT) AS cell, coalesce(region, concat('open ', CAST(s.i AS STRING), ' ', CAST(s.j AS STRING))) AS region,
+  coalesce(blocks, array()) AS blocks, stage, jump, p, coalesce(exposed, 0) AS exposed FROM s LEFT JOIN g ON g.cycle = s.cycle AND g.i = s.i AND g.j = s.j WHERE stage > 0"""
+
+
+@query("alerts")
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presets by cells, staged, filtered by confidence, placed in blocks, and suppressed within the event.
+
+    The scan depends on what went out before, so it walks an event's alerts of a preset in order of time; only
+    those of the last 45 minutes are held.
+    """
+    text = f"WITH {PAST}, {COUNTS}, {JUMP}, {OVERLAP}, {HIT}, " + ALERTS.removeprefix("WITH ")
+    staged = spark.sql(text, **{v: views.VIEWS[v](spark, sf_dir) for v in ("v_flash", "v_storm", "v_block")})
+    names = ["event", "preset", "id", "minute", "cell", "region", "blocks", "stage", "jump"]
 
     def walk(batches):
-        state = kernels.Suppressor(45.0 * 1440)  # the table's days stand for minutes
+        state = kernels.Suppressor()
         for rows in batches:
             yield state.feed(rows)
 
-    keys = ("cell", "preset")
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "minute", "o_orderkey")
-    return dealt.mapInPandas(walk, "o_orderkey bigint, verdict string, supersedes bigint")
+    dealt = staged.select(*names).repartition("event", "preset").sortWithinPartitions("event", "preset", "minute", "id")
+    verdicts = dealt.mapInPandas(walk, "event bigint, preset string, id bigint, verdict string, supersedes bigint")
+    return staged.drop("blocks").join(verdicts.where("verdict <> 'suppressed'"), ["event", "preset", "id"])
 
 
 @query("isotonic_fit")
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores are summed by distinct value before the fold, so a group is a few dozen rows."""
-    by = views.v_pred(spark, sf_dir).groupBy("lead", "p").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
+    """Samples in order of score, then outcome; equal ones are one row before the fold, which gives the same knots."""
+    by = views.v_pred(spark, sf_dir).groupBy("lead", "p", F.col("y").cast("double").alias("mean")).agg(F.count("*").alias("n"))
     return by.groupBy("lead").applyInPandas(kernels.fit_isotonic, "lead int, ord int, threshold double, value double")
 
 

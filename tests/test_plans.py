@@ -36,9 +36,27 @@ def test_tracker_keeps_and_renews_ids():
     assert kernels.track_cells(rows).cell_id.tolist() == ["C0001", "C0001", "C0002"]
 
 
+def alert_rows(*rows):
+    return pd.DataFrame([dict(zip(("id", "minute", "cell", "region", "blocks", "stage", "jump"), r, strict=True), event=1, preset="x") for r in rows])
+
+
+def verdicts(*rows):
+    return kernels.Suppressor().feed(alert_rows(*rows)).verdict.tolist()
+
+
 def test_suppression_and_escalation():
-    rows = pd.DataFrame({"cell": 1, "preset": "x", "o_orderkey": [1, 2, 3, 4], "minute": [0.0, 15.0, 25.0, 80.0], "stage": [2, 2, 3, 1]})
-    assert kernels.Suppressor().feed(rows).verdict.tolist() == ["alert", "suppressed", "update", "alert"]
+    assert verdicts((1, 0, 1, "a", [], 2, 0), (2, 15, 1, "a", [], 2, 0), (3, 25, 1, "a", [], 3, 0), (4, 80, 1, "a", [], 1, 0)) == ["alert", "suppressed", "update", "alert"]
+
+
+def test_suppression_by_region_block_and_jump():
+    assert verdicts((1, 0, 1, "a", [7], 2, 0), (2, 10, 2, "a", [], 2, 0), (3, 20, 3, "b", [7, 8], 2, 0), (4, 30, 4, "c", [9], 2, 0)) == ["alert", "suppressed", "suppressed", "alert"]
+    assert verdicts((1, 0, 1, "a", [], 3, 0), (2, 10, 1, "a", [], 3, 1), (3, 20, 1, "a", [], 3, 1)) == ["alert", "update", "suppressed"]
+
+
+def test_merged_cells_are_used_up():
+    rows = pd.DataFrame({"cycle": [0, 0, 1, 1], "label": [1, 2, 1, 2], "lat": [25.0, 25.1, 25.05, 25.12], "lon": [85.0] * 4})
+    got = kernels.track_cells(rows)
+    assert got.merged.tolist()[2:] == [True, False] and got.cell_id.tolist()[3] == "C0003"
 
 
 def test_stream_buffer(spark, tmp_path):
