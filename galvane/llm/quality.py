@@ -180,7 +180,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = trusted_ids(labels).withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int"))
     counts = packs.groupBy("home").cogroup(good.groupBy("home")).applyInArrow(home_counts, "home int, gram bigint, n0 bigint, n1 bigint")
     counts = written(counts, "grams")
-    answers = counts.select("home", "gram").join(model_costs(counts, (("n0", "cost0"), ("n1", "cost1"))), "gram").select("home", "gram", "cost0", "cost1")
+    answers = counts.select("home", "gram").join(model_costs(counts, (("n0", "cost0"), ("n1", "cost1"))), "gram").select("home", "gram", F.col("cost0").cast("float").alias("cost0"), F.col("cost1").cast("float").alias("cost1"))
     return packs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(home_scores, "doc_id bigint, text_hash bigint, lang string, n bigint, other double, both double")
 
 
