@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from galvane.plans.catalog import QUERIES, query
 from galvane.plans import relational  # noqa: F401
 
-FEATURES = ["intensity", "f10", "f20", "f30", "nwp", "no_nwp"]
+NWP = ["cape", "cin", "shear", "rh"]
+FEATURES = ["intensity", "f10", "f20", "f30", *NWP, *[f"no_{v}" for v in NWP]]
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per storm cell: flash counts, intensity, the as-of model value or 0 with its missing flag, label."""
+    """One row per storm cell: flash counts, intensity, the as-of model values or 0 with their missing flags, label."""
     keys = ["cycle", "i", "j"]
     rows = QUERIES["flash_counts_10_20_30"](spark, sf_dir).join(QUERIES["flash_exists_label"](spark, sf_dir), keys)
     rows = rows.join(QUERIES["nwp_asof"](spark, sf_dir), keys, "left")
-    return rows.withColumn("no_nwp", F.col("nwp").isNull().cast("double")).fillna(0.0, ["nwp"]).withColumn("day", F.floor(F.col("cycle") / 36))
+    flags = {f"no_{v}": F.col(v).isNull().cast("double") for v in NWP}
+    return rows.withColumns(flags).fillna(0.0, NWP).withColumn("day", F.floor(F.col("cycle") / 36))
 
 
 def split(rows: DataFrame) -> DataFrame:

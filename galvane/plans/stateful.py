@@ -55,7 +55,7 @@ def cc_components_8(spark: SparkSession, sf_dir: str) -> DataFrame:
 CI_PIXELS = f"WITH {CRITERIA} SELECT frame, i, j, ir, cooling, ir_wv, split FROM ci"
 CLUSTER = """p AS (SELECT *, least(greatest({scored}, 0.4D), 0.98D) AS raw FROM (SELECT frame, label, count(*) AS pixels, avg(i) AS ci, avg(j) AS cj, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, avg(cooling) AS cooling, min(ir) AS ir, avg(ir_wv) AS ir_wv, avg(split) AS split FROM {labelled} GROUP BY frame, label) x),
 lead AS (SELECT *, least(greatest(CAST(bround(45 - 30 * ((raw - 0.4D) / 0.45D), 0) AS INT), 15), 45) AS lead FROM p)
-SELECT frame, label, pixels, round(ci, 6) AS ci, round(cj, 6) AS cj, i0, i1, j0, j1, round(cooling, 6) AS cooling, round(ir, 6) AS ir, round(raw, 6) AS p, lead, round(pixels * 11.1D * 11.1D * cos(radians(25.55D)), 6) AS area FROM lead"""
+SELECT frame, label, pixels, round(ci, 6) AS ci, round(cj, 6) AS cj, i0, i1, j0, j1, round(cooling, 10) AS cooling, round(ir, 6) AS ir, round(raw, 6) AS p, lead, round(pixels * 11.1D * 11.1D * cos(radians(25.55D)), 6) AS area FROM lead"""
 CI_LABELLED = f"""SELECT l.label, x.* FROM ({cc_sql("SELECT frame, i, j FROM (" + for_duckdb(CI_PIXELS) + ")", EIGHT_WAYS)}) l JOIN ({for_duckdb(CI_PIXELS)}) x ON x.frame = l.frame AND x.i = l.i AND x.j = l.j"""
 CI_SQL = f"WITH labelled AS ({CI_LABELLED}), " + duck_words(CLUSTER.format(scored=SCORED, labelled="labelled"))
 
