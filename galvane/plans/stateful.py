@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from galvane.operators import kernels
 from galvane.plans.catalog import query
 from galvane.plans.nowcast import CRITERIA, SCORED
-from galvane.plans.relational import COUNTS, HIT, JUMP, OVERLAP, PAST, duck_words, for_duckdb
+from galvane.plans.relational import BOX, COUNTS, HIT, JUMP, OVERLAP, PAST, duck_words, for_duckdb
 from galvane.sources import views
+from galvane.streaming import settlement
 
 def cc_sql(mask: str, near: str = "abs(m.i - r.i) + abs(m.j - r.j) = 1") -> str:
     """DuckDB: components of mask (a query of frame, i, j); near: when are two pixels next to each other?"""
@@ -161,3 +162,26 @@ def isotonic_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = (F.col("p") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("p") < F.col("x1"))) | F.col("first") & below
     value = F.when(below | F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("p") - F.col("x0")) / (F.col("x1") - F.col("x0")))
     return scores.join(knots, "lead").where(hit).select("lead", "p", F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 6).alias("calibrated"))
+
+
+CLOCK = f"(us - {views.EPOCH_US}) // 24"
+SETTLED_SQL = for_duckdb(f"""WITH leads AS (SELECT * FROM (VALUES (10), (20), (30)) AS t(lead)), now AS (SELECT max({CLOCK}) AS top FROM {{v_obs}}),
+f AS (SELECT {CLOCK} AS t, lat, lon FROM {{v_obs}} WHERE modality = 'lightning'),
+c AS (SELECT *, CAST(cycle + 1 AS BIGINT) * 600000000 AS issued FROM {{v_storm}}, leads)
+SELECT c.cycle, c.i, c.j, c.lead, CAST(EXISTS (SELECT 1 FROM f WHERE f.t > c.issued AND f.t <= c.issued + c.lead * 60000000 AND {BOX.format(r="12.0D")}) AS INT) AS y
+FROM c, now WHERE c.issued + c.lead * 60000000 <= top""")
+
+
+def settlement_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forecasts (storm cells at the end of their cycle), flashes and the newest time, on the views' clock."""
+    seen = views.v_obs(spark, sf_dir).withColumn("time", F.timestamp_micros(F.floor((F.col("us") - views.EPOCH_US) / 24).cast("long")))
+    storms = views.v_storm(spark, sf_dir).select(F.timestamp_micros((F.col("cycle") + 1) * settlement.CYCLE_US).alias("issued"), "i", "j")
+    return storms, seen.where("modality = 'lightning'").select("time", "lat", "lon"), seen.agg(F.max("time").alias("now"))
+
+
+@query("event_time_settlement", SETTLED_SQL)
+def event_time_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mature (forecast, lead) with its outcome; galvane.streaming.settlement has the stream."""
+    storms, flashes, now = settlement_inputs(spark, sf_dir)
+    mature = settlement.settled(storms, flashes).where(F.col("due") <= now.scalar())
+    return mature.select((F.unix_micros("issued") / settlement.CYCLE_US - 1).cast("long").alias("cycle"), "i", "j", "lead", "y")
