@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from galvane.operators import kernels
-from galvane.plans.catalog import query
+from galvane.plans.catalog import QUERIES, SQL, query
 from galvane.plans.nowcast import CRITERIA, SCORED
 from galvane.plans.relational import BOX, COUNTS, HIT, JUMP, OVERLAP, PAST, duck_words, for_duckdb
 from galvane.sources import views
@@ -185,3 +185,10 @@ def event_time_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     storms, flashes, now = settlement_inputs(spark, sf_dir)
     mature = settlement.settled(storms, flashes).where(F.col("due") <= now.scalar())
     return mature.select((F.unix_micros("issued") / settlement.CYCLE_US - 1).cast("long").alias("cycle"), "i", "j", "lead", "y")
+
+
+@query("training_samples", f"SELECT c.cycle, c.i, c.j, c.intensity, c.f10, c.f20, c.f30, s.lead, s.y AS label FROM ({SQL['flash_counts_10_20_30']}) c JOIN ({SETTLED_SQL}) s ON s.cycle = c.cycle AND s.i = c.i AND s.j = c.j")
+def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of each storm cell at issue with its settled label by lead; store.append keeps them by run."""
+    numbers = QUERIES["flash_counts_10_20_30"](spark, sf_dir)
+    return numbers.join(event_time_settlement(spark, sf_dir).withColumnRenamed("y", "label"), ["cycle", "i", "j"])

@@ -3,8 +3,10 @@
 import datetime as dt
 
 import duckdb
+import pytest
 
 from galvane.plans import catalog, stateful
+from galvane.sources import store
 from galvane.streaming import settlement
 from tests.test_plans import text
 
@@ -21,11 +23,20 @@ def rows(df):
     return sorted(((r.issued - T0).total_seconds() / 60, r.i, r.j, r.lead, r.y) for r in df.collect())
 
 
-def test_matches_sql(spark):
+@pytest.mark.parametrize("name", ["event_time_settlement", "training_samples"])
+def test_matches_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{SF}/events.parquet'")
-    got = text(catalog.QUERIES["event_time_settlement"](spark, SF).toPandas())
-    assert got and got == text(con.execute(catalog.SQL["event_time_settlement"]).df())
+    got = catalog.QUERIES[name](spark, SF).toPandas()
+    assert len(got) and text(got) == text(con.execute(catalog.SQL[name]).df())
+    assert set(got["y" if "y" in got else "label"]) == {0, 1}
+
+
+def test_samples_of_a_cell_stay_apart_by_issue_time(spark, tmp_path):
+    schema = "run_id string, issued bigint, cell string, lead int, label int, version bigint"
+    for rows in ([("r1", 1, "c", 10, 0, 1), ("r1", 2, "c", 10, 1, 1)], [("r1", 2, "c", 10, 0, 2)]):
+        store.append(spark.createDataFrame(rows, schema), str(tmp_path), "samples")
+    assert sorted((r.issued, r.label) for r in store.scan(spark, str(tmp_path), "samples", "r1").collect()) == [(1, 0), (2, 0)]
 
 
 def test_window_is_open_at_issue_and_closed_at_due(spark):
