@@ -30,6 +30,7 @@ ORDER = 5
 HOME_BYTES = 32 << 20
 PRIOR = 60
 QUANTILE = 0.98
+SALTS = 64
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +185,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return packs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(home_scores, "doc_id bigint, text_hash bigint, lang string, n bigint, other double, both double")
 
 
+def by_language(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """rows with the column that each has for their language (of), else null; a language's rows go to SALTS keys."""
+    salted = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, (F.coalesce("lang", F.lit("")) == F.col("of")) & (F.col("own") == F.col("salt")), "left").drop("of", "own", "salt")
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, text_hash, lang, perplexity (of a byte) and keep, for each document."""
     scores = written(scored(docs, labels), "scores")
@@ -194,12 +202,12 @@ def verdicts(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     mean_all = flagged.where("good and n > 0").agg((F.sum("cost") / F.sum("n")).alias("m")).first()[0]
     if mean_all is None:  # nothing is trusted: there is no ground to reject
         return flagged.select("doc_id", "text_hash", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(True).alias("keep"))
-    drawn = flagged.join(means, lang == F.col("of"), "left").withColumn("mean", F.coalesce("mean", F.lit(mean_all)))
-    drawn = drawn.withColumn("drawn", (F.col("cost") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)).drop("of")
+    drawn = by_language(flagged, means).withColumn("mean", F.coalesce("mean", F.lit(mean_all)))
+    drawn = drawn.withColumn("drawn", (F.col("cost") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR))
     accuracy = F.lit(10_000)
     limits = drawn.where("good and n > 0").groupBy(lang.alias("of")).agg(F.percentile_approx("drawn", F.lit(quantile), accuracy).alias("limit"))
     limit_all = drawn.where("good and n > 0").agg(F.percentile_approx("drawn", F.lit(quantile), accuracy)).first()[0]
-    out = drawn.join(limits, lang == F.col("of"), "left")
+    out = by_language(drawn, limits)
     keep = F.col("good") | (F.col("n") == 0) | (F.col("drawn") <= F.coalesce("limit", F.lit(limit_all)))
     return out.select("doc_id", "text_hash", "lang", F.exp(F.col("cost") / F.nullif("n", F.lit(0))).alias("perplexity"), keep.alias("keep"))
 
