@@ -88,6 +88,16 @@ SELECT s.station, n.n, round(slat + 250 / 111.32D * sin(radians(n.n * 5.625D)),
 relational("polar_gate", f"""WITH {STATIONS}, x AS (SELECT o.event_id, o.station, (lon - slon) * 111.32D * cos(radians(slat)) AS x, (lat - slat) * 111.32D AS y FROM {{v_obs}} o JOIN st ON o.station = st.station WHERE modality = 'radar')
 SELECT event_id, station, CAST(bround(CASE WHEN x < 0 THEN degrees(atan2(x, y)) + 360 ELSE degrees(atan2(x, y)) END, 0) AS INT) % 360 AS az_idx, CAST(bround(sqrt(x * x + y * y) * 4, 0) AS INT) AS rg_idx FROM x""")
 relational("station_coverage", f"WITH {STATIONS}, g AS (SELECT DISTINCT i, j FROM {{v_pix}}) SELECT station, count(*) AS pixels FROM g JOIN st ON {KM.format(a='slat', b='(26D - 0.1D * i)', c='slon', d='(84D + 0.1D * j)')} <= 40.5D GROUP BY station")
+# What each station sees of a pixel (a sixth of the value stands for dBZ) and how far off it is. Where two or more see it,
+# weights fall with the distance from the station; elsewhere the largest value stays. Below 5 is no echo.
+SEEN = f"""{STATIONS}, seen AS (SELECT o.cycle, o.i, o.j, o.station, max(o.value) / 6 AS z, max({KM.format(a='slat', b='(26D - 0.1D * o.i)', c='slon', d='(84D + 0.1D * o.j)')}) AS km FROM {{v_obs}} o JOIN st ON o.station = st.station WHERE modality = 'radar' GROUP BY o.cycle, o.i, o.j, o.station),
+weighed AS (SELECT *, CASE WHEN km <= 250 THEN (62500 - km * km) / (62500 + km * km + 0.000001D) ELSE 0D END AS w FROM seen WHERE km <= 250)"""
+CRESSMAN = """blend AS (SELECT cycle, i, j, count(*) AS stations, CASE WHEN count(*) = 1 THEN max(z) WHEN sum(w) > 0.000001D THEN sum(z * w) / sum(w) ELSE 0D END AS z FROM weighed GROUP BY cycle, i, j),
+mosaic AS (SELECT cycle, i, j, stations, CASE WHEN z < 5 THEN 0D ELSE least(z, 75D) END AS z FROM blend)"""
+relational("mosaic_nearest", f"WITH {SEEN} SELECT cycle, i, j, round(least(greatest(min_by(z, round(km, 6) + station / 1000000000D), 0D), 75D), 6) AS dbz FROM weighed GROUP BY cycle, i, j")
+relational("mosaic_cressman", f"WITH {SEEN}, {CRESSMAN} SELECT cycle, i, j, stations, round(z, 6) AS dbz FROM mosaic")
+relational("mosaic_meta", f"""WITH {SEEN}, {CRESSMAN} SELECT cycle, count(*) AS pixels, count(*) FILTER (WHERE z >= 5) AS echo, count(*) FILTER (WHERE z >= 40) AS convective, round(count(*) FILTER (WHERE z >= 40) / nullif(CAST(count(*) FILTER (WHERE z >= 5) AS DOUBLE), 0), 6) AS convective_share,
+  round(count(*) FILTER (WHERE stations >= 2) * 11.132D * 11.132D, 4) AS overlap_km2, round(max(z), 6) AS max_z, round(avg(z) FILTER (WHERE z >= 5), 6) AS mean_z FROM mosaic GROUP BY cycle""")
 relational("volume_max", "SELECT cycle, i, j, round(max(least(value, 75D)), 6) AS maxz, max(CASE WHEN value >= 5 THEN 1 ELSE 0 END) AS covered FROM {v_obs} WHERE modality = 'radar' GROUP BY cycle, i, j")
 relational("equal_area", """WITH x AS (SELECT event_id, radians(lat) AS f, radians(lon - 84.5D) AS l, radians(25D) AS f0 FROM {v_obs}),
 k AS (SELECT *, sqrt(2 / (1 + sin(f0) * sin(f) + cos(f0) * cos(f) * cos(l))) AS k FROM x)
@@ -111,3 +121,15 @@ relational("split_window", "SELECT cycle, i, j, round(max(CASE WHEN station % 2
 relational("settled_by_box", f"WITH {NEXT} SELECT c.cycle, c.i, c.j FROM {{v_storm}} c WHERE EXISTS (SELECT 1 FROM ahead f WHERE f.at = c.cycle AND {BOX.format(r='5.0D')})")
 relational("fallback_usage", "WITH c AS (SELECT cycle, CASE WHEN count(DISTINCT modality) = 5 THEN 'FUSION' WHEN count(*) FILTER (WHERE modality = 'radar') > 0 AND count(*) FILTER (WHERE modality = 'model') > 0 THEN 'PHYSICS' WHEN count(*) FILTER (WHERE modality = 'lightning') > 0 THEN 'PERSISTENCE' ELSE 'CLIMATOLOGY' END AS rung FROM {v_obs} GROUP BY cycle) SELECT rung, count(*) AS cycles FROM c GROUP BY rung")
 relational("districts_first_seen", f"WITH {TILES} SELECT b.state, b.district, min(f.s) AS first_s, count(*) AS flashes FROM {{v_flash}} f JOIN bt b ON b.ty = CAST(floor(f.lat * 5) AS INT) AND b.tx = CAST(floor(f.lon * 5) AS INT) AND f.lat > b.lat0 + 0.001D AND f.lat < b.lat1 + 0.001D AND f.lon > b.lon0 + 0.001D AND f.lon < b.lon1 + 0.001D GROUP BY b.state, b.district")
+
+# Blocks with rings of eight corners (latitude, longitude: degrees of the box and how often the cut of 0.02 to 0.04), and flashes at their places within pixels. Candidates
+# come by tile and box; a point is inside if a ray from it crosses an odd number of the ring's edges.
+CORNERS = ((0.0, 1, 0.0, 0), (0.0, 0, 0.0, 1), (0.0, 0, 0.1, -1), (0.0, 1, 0.1, 0), (0.1, -1, 0.1, 0), (0.1, 0, 0.1, -1), (0.1, 0, 0.0, 1), (0.1, -1, 0.0, 0))
+SIDES = ", ".join(f"({a}D, {b}, {c}D, {d}, {e}D, {f}, {g}D, {h})" for (a, b, c, d), (e, f, g, h) in zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True))
+EDGES = f"SELECT n.*, lat0 + ya + yb * c AS y1, lon0 + xa + xb * c AS x1, lat0 + yc + yd * c AS y2, lon0 + xc + xd * c AS x2 FROM near n, (VALUES {SIDES}) AS s(ya, yb, xa, xb, yc, yd, xc, xd)"
+POLYGONS = f"""{TILES}, points AS (SELECT event_id, lat + (event_id % 97 - 48) * 0.001D + 0.00037D AS lat, lon + (event_id % 89 - 44) * 0.001D + 0.00041D AS lon FROM {{v_flash}}),
+near AS (SELECT p.event_id, p.lat, p.lon, b.s_suppkey, b.district, b.population, b.lat0, b.lon0, 0.02D + 0.01D * (b.s_suppkey % 3) AS c FROM points p JOIN bt b ON b.ty = CAST(floor(p.lat * 5) AS INT) AND b.tx = CAST(floor(p.lon * 5) AS INT) AND p.lat BETWEEN b.lat0 AND b.lat1 AND p.lon BETWEEN b.lon0 AND b.lon1),
+edges AS ({EDGES}),
+inside AS (SELECT event_id, s_suppkey, district, population FROM edges GROUP BY event_id, s_suppkey, district, population
+  HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (x2 - x1) * (lat - y1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1)"""
+relational("geocode_polygons", f"WITH {POLYGONS} SELECT event_id, count(*) AS blocks, count(DISTINCT district) AS districts, min(s_suppkey) AS first_block, CAST(sum(population) AS BIGINT) AS population FROM inside GROUP BY event_id")

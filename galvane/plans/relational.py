@@ -90,9 +90,6 @@ SELECT model, hits, misses, false_alarms, round(hits / nullif(CAST(hits + misses
 relational("climatology", "SELECT lead, round(avg(y), 6) AS p FROM {v_pred} GROUP BY lead")
 relational("router_rung", "SELECT cycle, CASE WHEN count(DISTINCT modality) = 5 THEN 'FUSION' WHEN count(*) FILTER (WHERE modality = 'radar') > 0 AND count(*) FILTER (WHERE modality = 'model') > 0 THEN 'PHYSICS' WHEN count(*) FILTER (WHERE modality = 'lightning') > 0 THEN 'PERSISTENCE' ELSE 'CLIMATOLOGY' END AS rung, least(greatest(0.35D + 0.15D * greatest(0, count(DISTINCT modality) - 1), 0.05D), 0.9D) AS confidence FROM {v_obs} GROUP BY cycle")
 relational("mosaic_max", "SELECT cycle, i, j, max(least(value, 75D)) AS dbz, count(DISTINCT station) AS coverage FROM {v_obs} WHERE modality = 'radar' AND value >= 5 GROUP BY cycle, i, j")
-relational("mosaic_nearest", "SELECT cycle, i, j, min_by(value, pow(i - station, 2) + pow(j - station, 2) + station / 100D + event_id / 1e12) AS dbz FROM {v_obs} WHERE modality = 'radar' GROUP BY cycle, i, j")
-relational("mosaic_cressman", "WITH w AS (SELECT frame, value, i, j, (25 - least(pow(i - 4.5D, 2) + pow(j - 4.5D, 2), 24.9D)) / (25 + pow(i - 4.5D, 2) + pow(j - 4.5D, 2) + 0.000001D) AS w FROM {v_pix}) SELECT frame, round(sum(w * value) / sum(w), 6) AS z, count(*) AS n FROM w GROUP BY frame")
-relational("mosaic_meta", "WITH m AS (SELECT cycle, i, j, max(value) AS z, count(DISTINCT station) AS c FROM {v_obs} WHERE modality = 'radar' GROUP BY cycle, i, j) SELECT cycle, count(*) AS echo, count(*) FILTER (WHERE z >= 45) AS convective, count(*) FILTER (WHERE c > 1) AS overlap, round(max(z), 6) AS max_z, round(avg(z), 6) AS mean_z FROM m GROUP BY cycle")
 OFFSETS = "d AS (SELECT a.o AS di, b.o AS dj FROM (VALUES (-1), (0), (1)) AS a(o), (VALUES (-1), (0), (1)) AS b(o))"
 relational("box_blur", f"WITH {OFFSETS}, t AS (SELECT p.frame, p.i, p.j, least(greatest(p.i + di, 0), 9) AS si, least(greatest(p.j + dj, 0), 9) AS sj FROM {{v_pix}} p, d) SELECT t.frame, t.i, t.j, round(sum(coalesce(q.value, 0)) / 9, 6) AS blurred FROM t LEFT JOIN {{v_pix}} q ON q.frame = t.frame AND q.i = t.si AND q.j = t.sj GROUP BY t.frame, t.i, t.j")
 relational("dilate", f"WITH {OFFSETS} SELECT frame, i + di AS i, j + dj AS j, max(value) AS value FROM {{v_pix}}, d WHERE i + di BETWEEN 0 AND 9 AND j + dj BETWEEN 0 AND 9 GROUP BY 1, 2, 3")
@@ -148,7 +145,7 @@ o AS (SELECT c.cycle, c.i, c.j, c.lat, c.lon, b.s_suppkey, b.state, b.district,
   WHERE b.ty = greatest(floor(b.lat0 * 5), floor((c.lat - 0.05D) * 5)) AND b.tx = greatest(floor(b.lon0 * 5), floor((c.lon - 0.05D) * 5)))"""
 HIT = "hit AS (SELECT *, CAST(round(population * least(1D, greatest(CASE WHEN inside = 1 THEN 0.15D ELSE 0.05D END, fraction)), 0) AS BIGINT) AS exposed FROM o WHERE fraction >= 0.1D OR inside = 1)"
 relational("block_overlap", f"WITH {OVERLAP}, {HIT} SELECT cycle, i, j, s_suppkey, fraction, inside, exposed, row_number() OVER (PARTITION BY cycle, i, j ORDER BY fraction DESC, s_suppkey) AS rank FROM hit")
-# A point's tile is one; boxes stand for the blocks' polygons here, geocode_polygons has rings.
+# A point's tile is one; boxes stand for the blocks' polygons here, geocode_polygons (products.py) has rings.
 relational("point_in_block", f"WITH {TILES} SELECT f.event_id, count(*) AS blocks, min(b.s_suppkey) AS first_block FROM {{v_flash}} f JOIN bt b ON b.ty = CAST(floor(f.lat * 5) AS INT) AND b.tx = CAST(floor(f.lon * 5) AS INT) AND f.lat > b.lat0 + 0.001D AND f.lat < b.lat1 + 0.001D AND f.lon > b.lon0 + 0.001D AND f.lon < b.lon1 + 0.001D GROUP BY f.event_id")
 relational("bulletin", "SELECT CAST(floor(minute / 1440) AS BIGINT) AS day, count(*) AS alerts, count(DISTINCT cell) AS cells, max(CASE WHEN p >= 0.7D THEN 3 WHEN p >= 0.5D THEN 2 WHEN p >= 0.25D THEN 1 ELSE 0 END) AS stage FROM {v_alert} GROUP BY 1")
 # Latitude,longitude pairs of the box, closed; the views' boxes lie on tenths of a degree.

@@ -117,21 +117,34 @@ def track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALERTS = """WITH p AS (SELECT * FROM (VALUES ('protective', 0.6D, 0.3D, 0.15D, 0.2D), ('operational', 0.7D, 0.5D, 0.2D, 0.35D)) AS t(preset, red, orange, yellow, least_confidence)),
-g AS (SELECT cycle, i, j, max_by(district, fraction * 1000 - s_suppkey / 1000000D) AS region, array_sort(collect_set(s_suppkey)) AS blocks, sum(exposed) AS exposed FROM hit GROUP BY cycle, i, j),
+g AS (SELECT cycle, i, j, max_by(district, fraction * 1000 - s_suppkey / 1000000D) AS region, {collected} AS blocks, sum(exposed) AS exposed FROM hit GROUP BY cycle, i, j),
 c AS (SELECT c.cycle, c.i, c.j, jump, least(c.intensity / 250, 0.98D) AS p, least(greatest(0.35D + c.f30 / 20D, 0.05D), 0.9D) AS confidence FROM jumps c),
 s AS (SELECT c.*, p.preset, CASE WHEN jump = 1 OR c.p >= red THEN 3 WHEN c.p >= orange THEN 2 WHEN c.p >= yellow THEN 1 ELSE 0 END AS stage FROM c, p WHERE confidence >= least_confidence)
 SELECT CAST(floor(s.cycle / 144) AS BIGINT) AS event, s.preset, s.cycle * 100 + s.i * 10 + s.j AS id, s.cycle * 10D AS minute, CAST(s.i * 10 + s.j AS BIGINT) AS cell, coalesce(region, concat('open ', CAST(s.i AS STRING), ' ', CAST(s.j AS STRING))) AS region,
-  coalesce(blocks, array()) AS blocks, stage, jump, p, coalesce(exposed, 0) AS exposed FROM s LEFT JOIN g ON g.cycle = s.cycle AND g.i = s.i AND g.j = s.j WHERE stage > 0"""
+  coalesce(blocks, {none}) AS blocks, stage, jump, p, coalesce(exposed, 0) AS exposed FROM s LEFT JOIN g ON g.cycle = s.cycle AND g.i = s.i AND g.j = s.j WHERE stage > 0"""
 
 
-@query("alerts")
+STAGED = f"WITH {PAST}, {COUNTS}, {JUMP}, {OVERLAP}, {HIT}, " + ALERTS.removeprefix("WITH ")
+# DuckDB: row by row of each event and preset; a step holds what went out within the window.
+WALK_SQL = """WITH RECURSIVE staged AS ({staged}), r AS (SELECT *, row_number() OVER (PARTITION BY event, preset ORDER BY minute, id) AS k FROM staged),
+w AS (SELECT event, preset, k, id, [struct_pack(id := id, minute := minute, cell := cell, region := region, blocks := blocks, stage := stage, jump := jump)] AS sent, 'alert' AS verdict, CAST(NULL AS BIGINT) AS supersedes FROM r WHERE k = 1
+UNION ALL SELECT event, preset, k, id, CASE WHEN verdict = 'suppressed' THEN live ELSE list_append(live, own) END, verdict, CASE WHEN verdict = 'update' THEN old.id END
+FROM (SELECT *, CASE WHEN old IS NULL THEN 'alert' WHEN own.jump = 1 AND old.jump = 0 OR own.stage > old.stage THEN 'update' ELSE 'suppressed' END AS verdict
+FROM (SELECT *, list_filter(live, lambda x: x.cell = own.cell OR x.region = own.region OR list_has_any(x.blocks, own.blocks))[-1] AS old
+FROM (SELECT r.event, r.preset, r.k, r.id, struct_pack(id := r.id, minute := r.minute, cell := r.cell, region := r.region, blocks := r.blocks, stage := r.stage, jump := r.jump) AS own, list_filter(w.sent, lambda x: r.minute - x.minute < 45) AS live
+FROM w JOIN r ON r.event = w.event AND r.preset = w.preset AND r.k = w.k + 1) a) b) c)
+SELECT s.* EXCLUDE (blocks), w.verdict, w.supersedes FROM staged s JOIN w ON w.event = s.event AND w.preset = s.preset AND w.id = s.id WHERE w.verdict <> 'suppressed'"""
+ALERTS_SQL = WALK_SQL.replace("{staged}", for_duckdb(STAGED.replace("{collected}", "list_sort(list(DISTINCT s_suppkey))").replace("{none}", "[]")))
+
+
+@query("alerts", ALERTS_SQL)
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presets by cells, staged, filtered by confidence, placed in blocks, and suppressed within the event.
 
     The scan depends on what went out before, so it walks an event's alerts of a preset in order of time; only
     those of the last 45 minutes are held.
     """
-    text = f"WITH {PAST}, {COUNTS}, {JUMP}, {OVERLAP}, {HIT}, " + ALERTS.removeprefix("WITH ")
+    text = STAGED.replace("{collected}", "array_sort(collect_set(s_suppkey))").replace("{none}", "array()")
     staged = spark.sql(text, **{v: views.VIEWS[v](spark, sf_dir) for v in ("v_flash", "v_storm", "v_block")})
     names = ["event", "preset", "id", "minute", "cell", "region", "blocks", "stage", "jump"]
 
@@ -145,14 +158,29 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.drop("blocks").join(verdicts.where("verdict <> 'suppressed'"), ["event", "preset", "id"])
 
 
-@query("isotonic_fit")
+# M10 in DuckDB: of the cumulative outcomes those points are knots that lie above no chord between an earlier and a later one.
+KNOTS_SQL = for_duckdb("""WITH s AS (SELECT lead, p, y, count(*) AS n FROM {v_pred} GROUP BY lead, p, y),
+c AS (SELECT lead, p, row_number() OVER w AS k, sum(n) OVER w AS cn, sum(n * y) OVER w AS cy FROM s WINDOW w AS (PARTITION BY lead ORDER BY p, y)),
+z AS (SELECT lead, k, cn, cy FROM c UNION ALL SELECT DISTINCT lead, 0, 0, 0 FROM c),
+bent AS (SELECT DISTINCT i.lead, i.k FROM c i JOIN z a ON a.lead = i.lead AND a.k < i.k JOIN z b ON b.lead = i.lead AND b.k > i.k WHERE (i.cy - a.cy) * (b.cn - i.cn) > (b.cy - i.cy) * (i.cn - a.cn)),
+e AS (SELECT lead, p, k, cn - lag(cn, 1, 0) OVER w AS n, cy - lag(cy, 1, 0) OVER w AS pos FROM c WHERE NOT EXISTS (SELECT 1 FROM bent x WHERE x.lead = c.lead AND x.k = c.k) WINDOW w AS (PARTITION BY lead ORDER BY k))
+SELECT lead, CAST(row_number() OVER (PARTITION BY lead ORDER BY p) - 1 AS INT) AS ord, p AS threshold, round(max_by(pos / CAST(n AS DOUBLE), k), 6) AS value FROM e GROUP BY lead, p""")
+
+
+@query("isotonic_fit", KNOTS_SQL)
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples in order of score, then outcome; equal ones are one row before the fold, which gives the same knots."""
     by = views.v_pred(spark, sf_dir).groupBy("lead", "p", F.col("y").cast("double").alias("mean")).agg(F.count("*").alias("n"))
     return by.groupBy("lead").applyInPandas(kernels.fit_isotonic, "lead int, ord int, threshold double, value double")
 
 
-@query("isotonic_apply")
+CALIBRATED_SQL = for_duckdb(f"""WITH knots AS (SELECT * FROM ({KNOTS_SQL}) x), g AS (SELECT lead, p FROM {{v_pred}} GROUP BY lead, p),
+n AS (SELECT *, lead(threshold) OVER (PARTITION BY lead ORDER BY ord) AS x1, lead(value) OVER (PARTITION BY lead ORDER BY ord) AS y1 FROM knots)
+SELECT g.lead, g.p, round(CASE WHEN g.p < threshold OR x1 IS NULL THEN value ELSE value + (y1 - value) * (g.p - threshold) / (x1 - threshold) END, 6) AS calibrated
+FROM g JOIN n ON n.lead = g.lead AND (g.p >= threshold AND (x1 IS NULL OR g.p < x1) OR ord = 0 AND g.p < threshold)""")
+
+
+@query("isotonic_apply", CALIBRATED_SQL)
 def isotonic_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear interpolation between the knots, ends clamped, by a range join with each knot's next."""
     w = Window.partitionBy("lead").orderBy("ord")

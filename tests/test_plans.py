@@ -6,11 +6,11 @@ import pandas as pd
 import pytest
 
 from galvane.operators import kernels
-from galvane.plans import catalog, relational, stateful  # noqa: F401
+from galvane.plans import catalog, products, relational, stateful  # noqa: F401
 from galvane.sources import views
 
 SF = "/root/testdata/sf0.001"
-SOME = ["nowcast_verification", "flash_counts_10_20_30", "roc_auc", "reliability", "murphy", "box_blur", "cc_components", "cell_stats", "motion_heading", "exposure_rollup", "block_overlap", "buffer_retention"]
+SOME = ["nowcast_verification", "flash_counts_10_20_30", "roc_auc", "reliability", "murphy", "box_blur", "cc_components", "cell_stats", "motion_heading", "exposure_rollup", "block_overlap", "buffer_retention", "mosaic_cressman", "mosaic_nearest", "geocode_polygons", "alerts", "isotonic_fit", "isotonic_apply"]
 
 
 def text(df):
@@ -27,6 +27,33 @@ def test_matches_sql(spark, name):
     assert text(catalog.QUERIES[name](spark, SF).toPandas()) == text(con.execute(catalog.SQL[name]).df())
 
 
+def test_polygons_against_half_planes(spark):
+    """A ring is the box without four corners: |dy| + |dx| from the centre stays below the side less the cut."""
+    flash, block = views.v_flash(spark, SF).toPandas(), views.v_block(spark, SF).toPandas()
+    want = {}
+    for f in flash.itertuples():
+        y, x = f.lat + (f.event_id % 97 - 48) * 0.001 + 0.00037, f.lon + (f.event_id % 89 - 44) * 0.001 + 0.00041
+        dy, dx = (block.lat0 + 0.05 - y).abs(), (block.lon0 + 0.05 - x).abs()
+        hit = block[(dy < 0.05) & (dx < 0.05) & (dy + dx < 0.1 - 0.02 - 0.01 * (block.s_suppkey % 3))]
+        if len(hit):
+            want[f.event_id] = (len(hit), hit.s_suppkey.min(), hit.population.sum())
+    got = {r["event_id"]: (r["blocks"], r["first_block"], r["population"]) for r in catalog.QUERIES["geocode_polygons"](spark, SF).collect()}
+    assert got and got == want
+
+
+def test_cressman_against_a_loop(spark):
+    radar = views.v_obs(spark, SF).where("modality = 'radar'").toPandas()
+    got = {(r["cycle"], r["i"], r["j"]): r["dbz"] for r in catalog.QUERIES["mosaic_cressman"](spark, SF).collect()}
+    assert len(got) == radar.groupby(["cycle", "i", "j"]).ngroups
+    for key, rows in radar.groupby(["cycle", "i", "j"]):
+        z = rows.groupby("station").value.max() / 6
+        la, lo, sa, so = (np.radians(v) for v in (26 - 0.1 * key[1], 84 + 0.1 * key[2], 25.3 + 0.1 * z.index.to_numpy(), 84.1 + 0.1 * z.index.to_numpy()))
+        d2 = (2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((la - sa) / 2) ** 2 + np.cos(la) * np.cos(sa) * np.sin((lo - so) / 2) ** 2))) ** 2
+        w = (62500 - d2) / (62500 + d2 + 1e-6)
+        want = z.max() if len(z) == 1 else (z * w).sum() / w.sum()
+        assert got[key] == pytest.approx(0.0 if want < 5 else min(want, 75.0), abs=1e-5)
+
+
 def test_pava():
     assert kernels.pava(np.array([0.1, 0.2, 0.3, 0.4]), np.ones(4), np.array([0.0, 1.0, 0.0, 1.0])) == ([0.1, 0.3, 0.4], [0.0, 0.5, 1.0])
 

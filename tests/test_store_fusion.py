@@ -22,6 +22,11 @@ def test_fusion_scores_every_cell(spark):
     assert len(rows) == fusion.features(spark, SF).count() and rows.p.between(0, 1).all()
 
 
+def test_parts_of_days(spark):
+    rows = fusion.tree_fusion(spark, SF).toPandas()
+    assert set(rows.part) == {"train", "calibrate", "test"} and (rows.p <= rows.calibrated + 1e-9).mean() > 0.5
+
+
 def test_split_keeps_days_whole(spark):
     days = fusion.split(spark.range(500).withColumnRenamed("id", "day")).unionByName(fusion.split(spark.range(500).withColumnRenamed("id", "day")))
     assert days.distinct().count() == 500
