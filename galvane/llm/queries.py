@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from galvane.llm import chat, decontaminate, jaccard, metric_search, packing, personal, quality, repeats, secrets, suffix_dedup
+from galvane.llm import chat, decontaminate, hard_negatives, jaccard, metric_search, packing, personal, prefix_trie, quality, repeats, secrets, sharding, suffix_dedup
 from galvane.llm.common import read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,46 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(read(spark, sf_dir, "documents"))
+
+
+# CRC-32 of the decimal id, bit by bit: a byte is taken in, then eight shifts (-1).
+OP11_SQL = r"""
+WITH r AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, conv_id - conv_id % 5 AS base, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h FROM r),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:h], h.ts[h + 1:]) AS ts FROM h LEFT JOIN r b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, ts[1:d] AS key, len(ts) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(ts[d].t)) END AS bytes FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM c)),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, key),
+k AS (SELECT d - 1 AS d, key[1:d - 1] AS key, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+t AS (SELECT n.*, coalesce(kids, 0) AS n_children FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key),
+s AS (SELECT u AS d, key[1:u] AS key, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM t) GROUP BY ALL)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, t.n_convs, t.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM t JOIN s ON s.d = t.d AND s.key = t.key LEFT JOIN n up ON up.d = t.d - 1 AND up.key = t.key[1:t.d - 1]
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_beginnings(read(spark, sf_dir, "conversations"))
+
+
+@query("op12_sharding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings")).drop("anchor_row")
