@@ -6,12 +6,16 @@ alert keys or models, so their size follows the grid or one event's length, not
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 
-KM_PER_DEG = 111.32
-#: Process and measurement variances of the constant-velocity filter, and its first covariance.
-Q, R, P0 = 0.8, 0.005**2, (0.01**2, 0.01**2, 1.0, 1.0)
+from galvane.operators import motion
+
+KM_PER_DEG = motion.KM_PER_DEGREE
 
 
 def label_components(frame: pd.DataFrame, corners: bool = False) -> pd.DataFrame:
@@ -42,55 +46,75 @@ def ways(i: int, j: int, corners: bool) -> list[tuple[int, int]]:
     return [(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (corners or not a or not b)]
 
 
-def track_cells(rows: pd.DataFrame, gate_kmh: float = 120.0, step_h: float = 1 / 6) -> pd.DataFrame:
+class Tracker:
     """Greedy matching, in the order of detections, to the last cycle's nearest unmatched cell in the gate.
 
-    rows: cycle, label, lat, lon. Adds cell_id, age, merged, split and a filtered speed in km/h.
+    previous holds the last cycle's cells: (id, age, lat, lon) and the filter's state (motion.State).
     """
-    gate = gate_kmh * step_h / KM_PER_DEG
-    out, previous, last, number = [], [], None, 0
-    for cycle, now in rows.sort_values(["cycle", "label"]).groupby("cycle", sort=True):
-        if last is not None and cycle != last + 1:
-            previous = []  # no coasting over a missing cycle
-        last, taken, current = cycle, set(), []
-        for r in now.itertuples():
-            near = sorted((np.hypot(r.lat - p["lat"], r.lon - p["lon"]), k) for k, p in enumerate(previous))
-            match = next((k for d, k in near if k not in taken and d <= gate), None)
-            others = [k for d, k in near if match is not None and k != match and k not in taken and d <= 1.2 * gate]
-            split = match is None and any(d <= 1.5 * gate for d, _ in near)
+
+    def __init__(self, previous: Sequence[tuple] = (), last: int | None = None, number: int = 0, gate_kmh: float = 120.0, step_h: float = 1 / 6):
+        self.previous, self.last, self.number, self.step_h = list(previous), last, number, step_h
+        self.gate = gate_kmh * step_h / KM_PER_DEG
+
+    def step(self, cycle: int, seen: list[tuple[int, float, float]]) -> list[tuple]:
+        """seen: (label, lat, lon) in order -> (label, cell_id, age, merged, split, speed_kmh), speed as filtered."""
+        before = self.previous if self.last is not None and cycle == self.last + 1 else []  # no coasting over a missing cycle
+        self.last, taken, current, out = cycle, set(), [], []
+        for label, lat, lon in seen:
+            near = sorted((math.hypot(lat - p[2], lon - p[3]), k) for k, p in enumerate(before))
+            match = next((k for d, k in near if k not in taken and d <= self.gate), None)
+            others = [k for d, k in near if match is not None and k != match and k not in taken and d <= 1.2 * self.gate]
+            split = match is None and any(d <= 1.5 * self.gate for d, _ in near)
             if match is None:
-                number += 1
-                cell = {"id": f"C{number:04d}", "age": 0, "x": np.array([r.lat, r.lon, 0.0, 0.0]), "p": np.diag(P0)}
+                self.number += 1
+                cell = (f"C{self.number:04d}", 0, lat, lon, *motion.first(lat, lon))
             else:
                 taken |= {match, *others}  # cells that merge into this one are used up
-                old = previous[match]
-                x, p = filtered(old["x"], old["p"], np.array([r.lat, r.lon]), step_h)
-                cell = {"id": old["id"], "age": old["age"] + 1, "x": x, "p": p}
-            cell |= {"lat": r.lat, "lon": r.lon}
+                old = before[match]
+                cell = (old[0], old[1] + 1, lat, lon, *motion.step(old[4:], self.step_h, lat, lon))
             current.append(cell)
-            v = cell["x"][2] * KM_PER_DEG, cell["x"][3] * KM_PER_DEG * np.cos(np.radians(r.lat))
-            out.append((int(cycle), int(r.label), cell["id"], cell["age"], bool(others), bool(split), round(float(np.hypot(*v)), 6)))
-        previous = current
+            y, v_lat, v_lon = cell[4], cell[6], cell[7]
+            speed = KM_PER_DEG * math.hypot(v_lat, v_lon * math.cos(math.radians(y)))
+            out.append((label, cell[0], cell[1], bool(others), split, round(speed, 6)))
+        self.previous = current
+        return out
+
+
+def track_cells(rows: pd.DataFrame) -> pd.DataFrame:
+    """rows of one event: cycle, label, lat, lon -> cycle, label, cell_id, age, merged, split, speed_kmh."""
+    tracker, out = Tracker(), []
+    for cycle, now in rows.sort_values(["cycle", "label"]).groupby("cycle", sort=True):
+        seen = list(zip(now["label"].tolist(), now["lat"].tolist(), now["lon"].tolist(), strict=True))
+        out += [(int(cycle), *r) for r in tracker.step(int(cycle), seen)]
     return pd.DataFrame(out, columns=["cycle", "label", "cell_id", "age", "merged", "split", "speed_kmh"])
 
 
-def filtered(x: np.ndarray, p: np.ndarray, seen: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
-    """One predict and update of the constant-velocity Kalman filter."""
-    f = np.eye(4)
-    f[0, 2] = f[1, 3] = dt
-    noise = Q * np.diag([dt**3 / 3, dt**3 / 3, dt, dt])
-    x, p = f @ x, f @ p @ f.T + noise
-    h = np.eye(2, 4)
-    k = p @ h.T @ np.linalg.inv(h @ p @ h.T + R * np.eye(2))
-    return x + k @ (seen - h @ x), (np.eye(4) - k @ h) @ p
+class Alert(NamedTuple):
+    id: int
+    minute: float
+    cell: int
+    region: str
+    blocks: Sequence[int]
+    stage: int
+    jump: int
 
 
-class Suppressor:
-    """Which alerts go out, for rows sorted by event, preset and time.
+def decided(sent: list[Alert], alert: Alert, minutes: float = 45.0) -> tuple[list[Alert], str, int | None]:
+    """What went out within the window with this alert, the verdict on it, and the alert that it supersedes.
+
+    Of the alerts that went out, the newest within the window that has the cell, the region or any block in
+    common decides: a jump that it did not have, or a higher stage, makes an update that supersedes it,
+    all else is suppressed.
+    """
+    live = [x for x in sent if alert.minute - x.minute < minutes]
+    own = set(alert.blocks)
+    old = next((x for x in reversed(live) if x.cell == alert.cell or x.region == alert.region or own & set(x.blocks)), None)
+    verdict = "alert" if old is None else "update" if alert.jump and not old.jump or alert.stage > old.stage else "suppressed"
+    return live if verdict == "suppressed" else [*live, alert], verdict, old.id if verdict == "update" else None
+
 
-    Of the alerts of the event and preset that went out, the newest within the window that has the
-    cell, the region or any block in common decides: a jump that it did not have, or a higher stage,
-    makes an update that supersedes it, all else is suppressed.
+class Suppressor:
+    """Which alerts go out (see decided), for rows sorted by event, preset and time.
 
     rows: event, preset, id, minute, cell, region, blocks, stage, jump. Only alerts within the window are held.
     """
@@ -100,16 +124,12 @@ class Suppressor:
 
     def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r in rows.itertuples():
-            if (r.event, r.preset) != self.key:
-                self.key, self.sent = (r.event, r.preset), []
-            self.sent = [x for x in self.sent if r.minute - x.minute < self.minutes]
-            own = set(r.blocks)
-            old = next((x for x in reversed(self.sent) if x.cell == r.cell or x.region == r.region or own & set(x.blocks)), None)
-            verdict = "alert" if old is None else "update" if r.jump and not old.jump or r.stage > old.stage else "suppressed"
-            if verdict != "suppressed":
-                self.sent.append(r)
-            out.append((r.event, r.preset, r.id, verdict, old.id if verdict == "update" else None))
+        for event, preset, *fields in zip(*(rows[c] for c in ("event", "preset", *Alert._fields)), strict=True):
+            if (event, preset) != self.key:
+                self.key, self.sent = (event, preset), []
+            alert = Alert(*fields)
+            self.sent, verdict, old = decided(self.sent, alert, self.minutes)
+            out.append((event, preset, alert.id, verdict, old))
         return pd.DataFrame(out, columns=["event", "preset", "id", "verdict", "supersedes"]).astype({"supersedes": "Int64"})
 
 

@@ -26,11 +26,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], store: Callable[[DataFrame], DataFrame] = stored, dealt: Sequence[Column] | None = None) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], store: Callable[[DataFrame], DataFrame] = stored, dealt: Sequence[Column] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """df with, under each name of sums, its expression summed over the rows of the same keys up to the row's own.
 
     order puts the rows of a group in order; dealt, where order is too wide to sample, is a coarser
-    order that agrees with it (rows equal in it share a task). Rows with a null key are left out.
+    order that agrees with it (rows equal in it share a task). Rows with a null key are left out. keep may
+    name _range, the number of a row's range.
     The dealt rows are stored once: bounds of ranges are drawn anew whenever a plan runs.
     """
     rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)) if keys else df
@@ -41,4 +42,4 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: M
     offsets = parts.select(*keys, "_range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_{name}_before") for name in sums])
     summed = placed.select("*", *[F.sum(x).over(own).alias(name) for name, x in sums.items()])
     both = summed.join(offsets, [*keys, "_range"])
-    return both.select(*df.columns, *[(F.col(name) + F.col(f"_{name}_before")).alias(name) for name in sums])
+    return both.select(*df.columns, *keep, *[(F.col(name) + F.col(f"_{name}_before")).alias(name) for name in sums])

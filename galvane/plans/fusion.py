@@ -10,7 +10,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from galvane.plans.catalog import QUERIES, query
-from galvane.plans import relational  # noqa: F401
+from galvane.plans import kinematics, relational  # noqa: F401
+from galvane.sources import views
 
 NWP = ["cape", "cin", "shear", "rh"]
 FEATURES = ["intensity", "f10", "f20", "f30", *NWP, *[f"no_{v}" for v in NWP]]
@@ -22,7 +23,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = QUERIES["flash_counts_10_20_30"](spark, sf_dir).join(QUERIES["flash_exists_label"](spark, sf_dir), keys)
     rows = rows.join(QUERIES["nwp_asof"](spark, sf_dir), keys, "left")
     flags = {f"no_{v}": F.col(v).isNull().cast("double") for v in NWP}
-    return rows.withColumns(flags).fillna(0.0, NWP).withColumn("day", F.floor(F.col("cycle") / 36))
+    return rows.withColumns(flags).fillna(0.0, NWP).withColumn("day", F.floor(F.col("cycle") / views.EVENT_CYCLES))
 
 
 def split(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galvane.plans.relational import BOX, COUNTS, FIELDS, JUMP, NEXT, OVERLAP, PAST, TILES, TRACK, relational
+from galvane.plans.relational import BOX, COUNTS, FIELDS, HIT, JUMP, NEXT, OVERLAP, PAST, TILES, TRACK, relational
 
 EIGHT = "(VALUES (0), (1), (2), (3), (4), (5), (6), (7))"
 LEADS = "leads AS (SELECT * FROM (VALUES (15), (30), (45), (60)) AS t(lead))"
@@ -39,8 +39,8 @@ relational("atom_feed", f"WITH {ALERT}, {STAGED}, {CAP} SELECT o_orderkey, conca
 TENTHS = "concat(CAST(CAST(floor({x} / 10) AS INT) AS STRING), '.', CAST({x} % 10 AS STRING))"
 relational("geojson_blocks", f"""WITH b AS (SELECT *, CAST(floor(lat0 * 10 + 0.5D) AS INT) AS y, CAST(floor(lon0 * 10 + 0.5D) AS INT) AS x FROM {{v_block}})
 SELECT s_suppkey, concat(chr(123), '"type":"Feature","properties":', chr(123), '"district":"', district, '","population":', CAST(population AS STRING), chr(125), ',"geometry":', chr(123), '"type":"Point","coordinates":[', {TENTHS.format(x="x")}, ',', {TENTHS.format(x="y")}, ']', chr(125), chr(125)) AS feature FROM b""")
-relational("region_name", f"""WITH {OVERLAP},
-k AS (SELECT *, row_number() OVER (PARTITION BY cycle, i, j ORDER BY fraction DESC, s_suppkey) AS k FROM o),
+relational("region_name", f"""WITH {OVERLAP}, {HIT},
+k AS (SELECT *, row_number() OVER (PARTITION BY cycle, i, j ORDER BY fraction DESC, s_suppkey) AS k FROM hit),
 g AS (SELECT cycle, i, j, count(*) AS n, count(DISTINCT district) AS nd, max(CASE WHEN k = 1 THEN state END) AS state, max(CASE WHEN k = 1 THEN district END) AS d1, max(CASE WHEN k = 2 THEN district END) AS d2, max(CASE WHEN k = 3 THEN district END) AS d3, max(CASE WHEN k = 1 THEN block END) AS b1, max(CASE WHEN k = 2 THEN block END) AS b2, max(CASE WHEN k = 3 THEN block END) AS b3 FROM k GROUP BY cycle, i, j),
 e AS (SELECT *, least(d1, coalesce(d2, d1), coalesce(d3, d1)) AS lo, greatest(d1, coalesce(d2, d1), coalesce(d3, d1)) AS hi FROM g)
 SELECT cycle, i, j, CASE WHEN n = 1 THEN concat(state, ' / ', d1, ' / ', b1, CASE WHEN b1 LIKE '%Block' THEN '' ELSE ' Block' END)
@@ -76,10 +76,11 @@ relational("render_bands", """WITH x AS (SELECT frame, i, j, value / 500 AS p FR
 SELECT frame, i, j, CASE WHEN p <= 0.2D THEN 46 WHEN p <= 0.4D THEN 241 WHEN p <= 0.6D THEN 230 ELSE 192 END AS r, CASE WHEN p <= 0.2D THEN 204 WHEN p <= 0.4D THEN 196 WHEN p <= 0.6D THEN 126 ELSE 57 END AS g, CASE WHEN p <= 0.05D THEN 0 ELSE CAST(floor(60 + 180 * least(p, 1D)) AS INT) END AS a FROM x""")
 
 # Geometry: tracks ahead, rings, gates and projections.
-MOTION = f"m AS (SELECT track, b, lat, lon, (lat - lat_0) / ((b - b_0) * 6D) AS vlat, (lon - lon_0) / ((b - b_0) * 6D) AS vlon FROM ({TRACK}) t WHERE k > 1)"
+MOTION = f"m AS (SELECT track, b, lat, lon, area, (lat - lat_0) / ((b - b_0) * 6D) AS vlat, (lon - lon_0) / ((b - b_0) * 6D) AS vlon FROM ({TRACK}) t WHERE k > 1)"
+BASE_KM = "greatest(8D, sqrt(area * pow(0.1D * 111.32D, 2) / pi()))"
 relational("projected_path", f"WITH {MOTION}, {LEADS} SELECT track, b, lead, round(lat + vlat * (lead / 60D), 8) + 0D AS lat, round(lon + vlon * (lead / 60D), 8) + 0D AS lon FROM m, leads")
 relational("uncertainty_cone", f"""WITH {MOTION}, v AS (SELECT *, vlon * 111.32D * cos(radians(lat)) AS u, vlat * 111.32D AS v FROM m), n AS (SELECT *, sqrt(u * u + v * v) AS speed FROM v), {LEADS},
-e AS (SELECT n.*, lead, side, (5 + 1.645D * 12 * (lead / 60D)) * side / 111.32D AS r FROM n, leads, (VALUES (-1), (1)) AS z(side) WHERE speed >= 1)
+e AS (SELECT n.*, lead, side, ({BASE_KM} + 1.645D * 12 * (lead / 60D)) * side / 111.32D AS r FROM n, leads, (VALUES (-1), (1)) AS z(side) WHERE speed >= 1)
 SELECT track, b, lead, side, round(lat + vlat * (lead / 60D) + u / speed * r, 4) + 0D AS lat, round(lon + vlon * (lead / 60D) - v / speed * r / greatest(cos(radians(lat + vlat * (lead / 60D))), 0.0001D), 4) + 0D AS lon FROM e""")
 relational("wind_direction", f"WITH {MOTION} SELECT track, b, round(CASE WHEN vlat * vlat + vlon * vlon < 0.00000001D THEN 0D WHEN vlon < 0 THEN degrees(atan2(vlon, vlat)) + 360 ELSE degrees(atan2(vlon, vlat)) END, 6) + 0D AS heading FROM m")
 STATIONS = f"st AS (SELECT d AS station, 25.3D + 0.1D * d AS slat, 84.1D + 0.1D * d AS slon FROM {EIGHT} AS t(d))"
@@ -103,19 +104,13 @@ relational("equal_area", """WITH x AS (SELECT event_id, radians(lat) AS f, radia
 k AS (SELECT *, sqrt(2 / (1 + sin(f0) * sin(f) + cos(f0) * cos(f) * cos(l))) AS k FROM x)
 SELECT event_id, round(6371 * k * cos(f) * sin(l), 5) + 0D AS x_km, round(6371 * k * (cos(f0) * sin(f) - sin(f0) * cos(f) * cos(l)), 5) + 0D AS y_km FROM k""")
 
-# Initiation candidates, sequences and quality.
-CANDIDATE = "c AS (SELECT a.frame, a.i, a.j, 26D - 0.1D * a.i AS lat, 84D + 0.1D * a.j AS lon, (a.value - b.value) / 3 AS cooling FROM {v_pix} a JOIN {v_pix} b ON b.frame = a.frame - 1 AND b.i = a.i AND b.j = a.j WHERE (a.value - b.value) / 3 >= 20)"
-relational("initiation_candidates", f"WITH {CANDIDATE} SELECT frame, i, j, round(cooling, 6) AS cooling, round(least(0.4D + cooling / 100, 0.95D), 6) AS p FROM c")
-relational("initiation_tracking", f"""WITH {CANDIDATE}, y AS (SELECT a.frame, a.i, a.j, b.i * 10 + b.j AS prev, (a.lat - b.lat) * 111 AS dy, (a.lon - b.lon) * 111 * cos(radians((a.lat + b.lat) / 2)) AS dx FROM c a JOIN c b ON b.frame = a.frame - 1 AND abs(a.i - b.i) <= 5 AND abs(a.j - b.j) <= 5),
-r AS (SELECT *, row_number() OVER (PARTITION BY frame, i, j ORDER BY round(sqrt(dx * dx + dy * dy), 5), prev) AS k FROM y WHERE sqrt(dx * dx + dy * dy) <= 50)
-SELECT c.frame, c.i, c.j, r.prev, round(r.dx / 0.25D, 4) + 0D AS u_kmh, round(r.dy / 0.25D, 4) + 0D AS v_kmh, round(CASE WHEN r.prev IS NULL THEN least(0.4D + cooling / 100, 0.95D) ELSE least(least(0.4D + cooling / 100, 0.95D) + 0.05D, 0.98D) END, 6) AS p FROM c LEFT JOIN r ON r.frame = c.frame AND r.i = c.i AND r.j = c.j AND r.k = 1""")
+# Sequences and quality.
 relational("tensor_frames", """WITH f AS (SELECT DISTINCT frame FROM {v_pix}), k AS (SELECT frame, row_number() OVER (ORDER BY frame DESC) AS back, least(count(*) OVER (), 4) AS n FROM f),
 l AS (SELECT t, frame FROM k JOIN (VALUES (0), (1), (2), (3)) AS s(t) ON n - back = least(t, n - 1) WHERE back <= 4) SELECT t, p.i, p.j, round(least(greatest(p.value / 500, 0D), 1D), 6) AS x FROM l JOIN {v_pix} p ON p.frame = l.frame""")
 relational("augment", "SELECT 'flip_h' AS kind, frame, i, 9 - j AS j, value FROM {v_pix} UNION ALL SELECT 'flip_v', frame, 9 - i, j, value FROM {v_pix} UNION ALL SELECT 'rot90', frame, 9 - j, i, value FROM {v_pix}")
 relational("flash_bursts", """WITH g AS (SELECT i, j, s, CASE WHEN s - lag(s) OVER w > 1800 OR lag(s) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM {v_flash} WINDOW w AS (PARTITION BY i, j ORDER BY s, event_id)),
 b AS (SELECT i, j, s, sum(fresh) OVER (PARTITION BY i, j ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g) SELECT i, j, CAST(burst AS BIGINT) AS burst, count(*) AS flashes, round(max(s) - min(s), 3) AS seconds FROM b GROUP BY i, j, burst""")
 relational("qc_time_flags", "WITH t AS (SELECT modality AS m, max(s) AS top FROM {v_obs} GROUP BY modality) SELECT modality, count(*) FILTER (WHERE top - s > 5400) AS stale, count(*) FILTER (WHERE s - top > 300) AS ahead, count(*) AS n FROM {v_obs} JOIN t ON modality = m GROUP BY modality")
-relational("percentiles", "SELECT modality, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY value), 6) AS background, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY value), 6) AS p99, round(avg(value), 6) AS mean, round(max(value), 6) AS top FROM {v_obs} GROUP BY modality")
 relational("lut_kelvin", f"WITH lut AS (SELECT a.d * 8 + b.d AS count_in, 330 - 2.5D * (a.d * 8 + b.d) AS kelvin FROM {EIGHT} AS a(d), {EIGHT} AS b(d)) SELECT event_id, kelvin FROM {{v_obs}} JOIN lut ON count_in = CAST(least(greatest(floor(value / 8), 0D), 63D) AS INT) WHERE modality = 'satellite'")
 relational("split_window", "SELECT cycle, i, j, round(max(CASE WHEN station % 2 = 0 THEN value END) - max(CASE WHEN station % 2 = 1 THEN value END), 6) AS difference FROM {v_obs} WHERE modality = 'satellite' GROUP BY cycle, i, j")
 relational("settled_by_box", f"WITH {NEXT} SELECT c.cycle, c.i, c.j FROM {{v_storm}} c WHERE EXISTS (SELECT 1 FROM ahead f WHERE f.at = c.cycle AND {BOX.format(r='5.0D')})")

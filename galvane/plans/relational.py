@@ -56,7 +56,8 @@ settled AS (SELECT pair FROM issued, now WHERE (cycle + lead / 10) * 2 <= top),
 flashed AS (SELECT DISTINCT c.cycle, f.cycle - c.cycle AS after FROM {{v_storm}} c JOIN (SELECT *, cycle - 1 AS at FROM {{v_flash}} UNION ALL SELECT *, cycle - 2 FROM {{v_flash}} UNION ALL SELECT *, cycle - 3 FROM {{v_flash}}) f ON f.at = c.cycle AND {BOX.format(r="12.0D")})
 SELECT i.cycle, i.lead, max(CASE WHEN f.after * 10 <= i.lead THEN 1 ELSE 0 END) AS y FROM issued i JOIN now ON i.cycle + i.lead / 10 <= top LEFT JOIN flashed f ON f.cycle = i.cycle
 WHERE NOT EXISTS (SELECT 1 FROM settled s WHERE s.pair = i.pair) GROUP BY i.cycle, i.lead""")
-relational("grid_index", "SELECT event_id, CASE WHEN lat BETWEEN 25.25D AND 26.05D THEN CAST(bround((lat - 26.0D) / -0.1D, 0) AS INT) END AS row_i, CASE WHEN lat BETWEEN 25.25D AND 26.05D THEN CAST(bround((lon - 84.0D) / 0.1D, 0) AS INT) END AS col_j FROM {v_obs}")
+IN_GRID = "lat BETWEEN 25.05D AND 26.05D AND lon BETWEEN 83.95D AND 84.95D"
+relational("grid_index", f"SELECT event_id, CASE WHEN {IN_GRID} THEN CAST(bround((lat - 26.0D) / -0.1D, 0) AS INT) END AS row_i, CASE WHEN {IN_GRID} THEN CAST(bround((lon - 84.0D) / 0.1D, 0) AS INT) END AS col_j FROM (SELECT event_id, lat + (event_id % 11 - 5) * 0.05D AS lat, lon + (event_id % 13 - 6) * 0.04D AS lon FROM {{v_obs}}) o")
 relational("haversine", "SELECT event_id, round(2 * 6371.0088D * asin(sqrt(pow(sin(radians(lat - 25.6D) / 2), 2) + cos(radians(25.6D)) * cos(radians(lat)) * pow(sin(radians(lon - 84.5D) / 2), 2))), 6) AS km FROM {v_obs}")
 relational("proxy_intensity", "SELECT event_id, round(least(greatest((300 - (180 + value / 3)) / 95, 0D), 1D) * 255, 6) AS ir_proxy, round(least(greatest(value / 50, 0D), 1D) * 255, 6) AS rain_proxy FROM {v_obs}")
 relational("shear_brn", "WITH x AS (SELECT event_id, value * 10 AS cape, least(sqrt(pow(value / 10, 2) + pow(station * 2D, 2)), 100D) AS shear FROM {v_obs} WHERE modality = 'model') SELECT event_id, round(shear, 6) AS shear, round(least(greatest(cape / greatest(0.5D * shear * shear, 1D), 0D), 500D), 6) AS brn FROM x")
@@ -78,15 +79,6 @@ m AS (SELECT sum(n * pow(mp - oy, 2)) / max(total) AS rel, sum(n * pow(oy - base
 SELECT round(brier, 6) AS brier, round(rel, 6) AS reliability, round(res, 6) AS resolution, round(unc, 6) AS uncertainty, round(rel - res + unc, 6) AS decomposed FROM m""")
 relational("monotone_reliability", f"WITH {BINS}, {BINNED}, x AS (SELECT oy - lag(oy) OVER (ORDER BY bin) AS d FROM binned WHERE n > 0) SELECT CAST(coalesce(min(d), 0) >= -0.00001D AS INT) AS monotone FROM x")
 relational("ece_slope", f"WITH {BINS}, {BINNED} SELECT round(sum(n * abs(mp - oy)) / sum(n), 6) AS ece, round(regr_slope(oy, mp), 6) AS slope, round(regr_intercept(oy, mp), 6) AS intercept FROM binned WHERE n > 0")
-relational("roc_auc", """WITH g AS (SELECT lead, p, count(*) AS n, sum(y) AS pos FROM {v_pred} GROUP BY lead, p),
-r AS (SELECT lead, pos, sum(n) OVER (PARTITION BY lead ORDER BY p) - n + (n + 1) / 2.0D AS rank, n FROM g)
-SELECT lead, round((sum(pos * rank) - sum(pos) * (sum(pos) + 1) / 2.0D) / nullif(CAST(sum(pos) AS DOUBLE) * (sum(n) - sum(pos)), 0), 6) AS auc FROM r GROUP BY lead""")
-# Each model's column is an input; none is made up from the labels.
-relational("baseline_matrix", """WITH m AS (SELECT 'fusion' AS model, p, y FROM {v_pred} UNION ALL SELECT 'climatology_persistence', p_climo, y FROM {v_pred} UNION ALL SELECT 'nwp_environmental_threshold', p_nwp, y FROM {v_pred}
-  UNION ALL SELECT 'lagrangian_advection', p_advection, y FROM {v_pred} UNION ALL SELECT 'uncalibrated_gbdt', p_uncal, y FROM {v_pred} UNION ALL SELECT 'text_bulletin', 0.65D, y FROM {v_pred}),
-c AS (SELECT model, count(*) FILTER (WHERE p >= 0.35D AND y = 1) AS hits, count(*) FILTER (WHERE p < 0.35D AND y = 1) AS misses, count(*) FILTER (WHERE p >= 0.35D AND y = 0) AS false_alarms, avg(pow(p - y, 2)) AS brier, avg(y) * (1 - avg(y)) AS reference FROM m GROUP BY model)
-SELECT model, hits, misses, false_alarms, round(hits / nullif(CAST(hits + misses AS DOUBLE), 0), 6) AS pod, round(false_alarms / nullif(CAST(hits + false_alarms AS DOUBLE), 0), 6) AS far,
-  round(hits / nullif(CAST(hits + misses + false_alarms AS DOUBLE), 0), 6) AS csi, round(brier, 6) AS brier, round(1 - brier / nullif(reference, 0), 6) AS bss FROM c""")
 relational("climatology", "SELECT lead, round(avg(y), 6) AS p FROM {v_pred} GROUP BY lead")
 relational("router_rung", "SELECT cycle, CASE WHEN count(DISTINCT modality) = 5 THEN 'FUSION' WHEN count(*) FILTER (WHERE modality = 'radar') > 0 AND count(*) FILTER (WHERE modality = 'model') > 0 THEN 'PHYSICS' WHEN count(*) FILTER (WHERE modality = 'lightning') > 0 THEN 'PERSISTENCE' ELSE 'CLIMATOLOGY' END AS rung, least(greatest(0.35D + 0.15D * greatest(0, count(DISTINCT modality) - 1), 0.05D), 0.9D) AS confidence FROM {v_obs} GROUP BY cycle")
 relational("mosaic_max", "SELECT cycle, i, j, max(least(value, 75D)) AS dbz, count(DISTINCT station) AS coverage FROM {v_obs} WHERE modality = 'radar' AND value >= 5 GROUP BY cycle, i, j")
@@ -102,13 +94,6 @@ relational("btd_cooling", "SELECT a.frame, a.i, a.j, round(a.value - b.value, 6)
 relational("regrid_nearest", "WITH g AS (SELECT frame, CAST(floor((i + 0.5D) / 2) AS INT) AS gi, CAST(floor((j + 0.5D) / 2) AS INT) AS gj, i, j, value FROM {v_pix}) SELECT frame, gi, gj, value FROM g WHERE i = 2 * gi AND j = 2 * gj")
 relational("regrid_bilinear", "SELECT a.frame, a.i, a.j, round((a.value + b.value + c.value + d.value) / 4, 6) AS value FROM {v_pix} a JOIN {v_pix} b ON b.frame = a.frame AND b.i = a.i + 1 AND b.j = a.j JOIN {v_pix} c ON c.frame = a.frame AND c.i = a.i AND c.j = a.j + 1 JOIN {v_pix} d ON d.frame = a.frame AND d.i = a.i + 1 AND d.j = a.j + 1")
 relational("raster_min_bbox", "SELECT c.cycle, c.i, c.j, round(min(p.value), 6) AS ir_min, round(max(p.value), 6) AS rain_max, round(avg(p.value), 6) AS rain_mean FROM {v_storm} c JOIN {v_pix} p ON p.frame = CAST(floor(c.cycle / 6) AS INT) AND p.i BETWEEN c.i - 1 AND c.i + 1 AND p.j BETWEEN c.j - 1 AND c.j + 1 GROUP BY c.cycle, c.i, c.j")
-# Per variable the newest value of the pixel up to the cycle's end: values and cycles in one order by pixel, the k-th value goes to all until the next.
-relational("nwp_asof", """WITH vars AS (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(var)),
-u AS (SELECT i, j, station % 4 AS var, s AS t, 0 AS kind, event_id AS id, value AS m, CAST(NULL AS BIGINT) AS cycle FROM {v_obs} WHERE modality = 'model'
-  UNION ALL SELECT i, j, var, (cycle + 1) * 600D, 1, cycle, NULL, cycle FROM {v_storm}, vars),
-k AS (SELECT *, count(m) OVER (PARTITION BY i, j, var ORDER BY t, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM u),
-w AS (SELECT *, max(m) OVER (PARTITION BY i, j, var, k) AS newest FROM k)
-SELECT cycle, i, j, max(CASE WHEN var = 0 THEN newest * 10 END) AS cape, max(CASE WHEN var = 1 THEN newest END) AS cin, max(CASE WHEN var = 2 THEN newest / 10 END) AS shear, max(CASE WHEN var = 3 THEN newest / 5 END) AS rh FROM w WHERE cycle IS NOT NULL GROUP BY cycle, i, j""")
 # Flashes with a pixel of 235 or more (the views' stand-in for a cold core) within 25 km, longitudes at a fixed cos(22 degrees).
 D5 = "d5 AS (SELECT a.o AS di, b.o AS dj FROM (VALUES (-2), (-1), (0), (1), (2)) AS a(o), (VALUES (-2), (-1), (0), (1), (2)) AS b(o))"
 relational("colocation_rate", f"""WITH {D5}, near AS (SELECT event_id, CAST(floor(s / 3600) AS INT) AS frame, i + di AS i, j + dj AS j FROM {{v_flash}}, d5 WHERE pow(di * 0.1D * 111.32D, 2) + pow(dj * 0.1D * 111.32D * cos(radians(22D)), 2) <= 625),

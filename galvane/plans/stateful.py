@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from galvane.operators import kernels
+from galvane.operators import kernels, tiles
+from galvane.operators.ranks import stored
 from galvane.plans.catalog import QUERIES, SQL, query
 from galvane.plans.nowcast import CRITERIA, SCORED
+from galvane.plans.ranked import isotonic_knots
 from galvane.plans.relational import BOX, COUNTS, HIT, JUMP, OVERLAP, PAST, duck_words, for_duckdb
 from galvane.sources import views
 from galvane.streaming import settlement
@@ -35,6 +37,24 @@ def cc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, sf_dir)
 
 
+@query("cc_tiles", CC_SQL)
+def cc_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same labels from tiles of four pixels a side, united at their borders."""
+    return tiles.labelled(views.v_pix(spark, sf_dir).where("value >= 60").select("frame", "i", "j"), tile=4)
+
+
+#: Levels of a storm's shield, its cores and their tops.
+LEVELS = (60, 200, 350)
+LEVELS_SQL = "SELECT a.frame, a.i, a.j, a.label AS label_0, coalesce(b.label, 0) AS label_1, coalesce(c.label, 0) AS label_2 FROM ({}) a LEFT JOIN ({}) b ON b.frame = a.frame AND b.i = a.i AND b.j = a.j LEFT JOIN ({}) c ON c.frame = a.frame AND c.i = a.i AND c.j = a.j".format(
+    *(cc_sql(for_duckdb(f"SELECT frame, i, j FROM {{v_pix}} WHERE value >= {x}")) for x in LEVELS)
+)
+
+
+@query("storm_levels", LEVELS_SQL)
+def storm_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.levels(views.v_pix(spark, sf_dir).select("frame", "i", "j", "value"), LEVELS, tile=5)
+
+
 STATS_SQL = f"""SELECT c.frame, label, count(*) AS area, min(c.i) AS i0, max(c.i) AS i1, min(c.j) AS j0, max(c.j) AS j1, round(max(value), 6) AS top, round(avg(value), 6) AS mean
 FROM ({CC_SQL}) c JOIN ({for_duckdb("SELECT * FROM {v_pix}")}) p ON p.frame = c.frame AND p.i = c.i AND p.j = c.j GROUP BY c.frame, label HAVING count(*) >= 2"""
 
@@ -104,8 +124,8 @@ def watershed_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("track_cells")
 def track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storm cells of each day as one event, tracked over its cycles."""
-    storms = views.v_storm(spark, sf_dir).withColumn("event", F.floor(F.col("cycle") / 6).cast("long"))
+    """Storm cells of each event, tracked over its cycles; galvane.streaming.ordered has the stream."""
+    storms = views.v_storm(spark, sf_dir).withColumn("event", F.floor(F.col("cycle") / views.EVENT_CYCLES).cast("long"))
     rows = storms.withColumn("label", (F.col("i") * 10 + F.col("j")).cast("int")).select("event", "cycle", "label", "lat", "lon")
 
     def one(key, rows):
@@ -120,7 +140,7 @@ ALERTS = """WITH p AS (SELECT * FROM (VALUES ('protective', 0.6D, 0.3D, 0.15D, 0
 g AS (SELECT cycle, i, j, max_by(district, fraction * 1000 - s_suppkey / 1000000D) AS region, {collected} AS blocks, sum(exposed) AS exposed FROM hit GROUP BY cycle, i, j),
 c AS (SELECT c.cycle, c.i, c.j, jump, least(c.intensity / 250, 0.98D) AS p, least(greatest(0.35D + c.f30 / 20D, 0.05D), 0.9D) AS confidence FROM jumps c),
 s AS (SELECT c.*, p.preset, CASE WHEN jump = 1 OR c.p >= red THEN 3 WHEN c.p >= orange THEN 2 WHEN c.p >= yellow THEN 1 ELSE 0 END AS stage FROM c, p WHERE confidence >= least_confidence)
-SELECT CAST(floor(s.cycle / 144) AS BIGINT) AS event, s.preset, s.cycle * 100 + s.i * 10 + s.j AS id, s.cycle * 10D AS minute, CAST(s.i * 10 + s.j AS BIGINT) AS cell, coalesce(region, concat('open ', CAST(s.i AS STRING), ' ', CAST(s.j AS STRING))) AS region,
+SELECT CAST(floor(s.cycle / 36) AS BIGINT) AS event, s.preset, s.cycle * 100 + s.i * 10 + s.j AS id, s.cycle * 10D AS minute, CAST(s.i * 10 + s.j AS BIGINT) AS cell, coalesce(region, concat('open ', CAST(s.i AS STRING), ' ', CAST(s.j AS STRING))) AS region,
   coalesce(blocks, {none}) AS blocks, stage, jump, p, coalesce(exposed, 0) AS exposed FROM s LEFT JOIN g ON g.cycle = s.cycle AND g.i = s.i AND g.j = s.j WHERE stage > 0"""
 
 
@@ -145,7 +165,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     those of the last 45 minutes are held.
     """
     text = STAGED.replace("{collected}", "array_sort(collect_set(s_suppkey))").replace("{none}", "array()")
-    staged = spark.sql(text, **{v: views.VIEWS[v](spark, sf_dir) for v in ("v_flash", "v_storm", "v_block")})
+    staged = stored(spark.sql(text, **{v: views.VIEWS[v](spark, sf_dir) for v in ("v_flash", "v_storm", "v_block")}))
     names = ["event", "preset", "id", "minute", "cell", "region", "blocks", "stage", "jump"]
 
     def walk(batches):
@@ -169,9 +189,8 @@ SELECT lead, CAST(row_number() OVER (PARTITION BY lead ORDER BY p) - 1 AS INT) A
 
 @query("isotonic_fit", KNOTS_SQL)
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in order of score, then outcome; equal ones are one row before the fold, which gives the same knots."""
-    by = views.v_pred(spark, sf_dir).groupBy("lead", "p", F.col("y").cast("double").alias("mean")).agg(F.count("*").alias("n"))
-    return by.groupBy("lead").applyInPandas(kernels.fit_isotonic, "lead int, ord int, threshold double, value double")
+    """Samples in order of score, then outcome."""
+    return isotonic_knots(spark, sf_dir)
 
 
 CALIBRATED_SQL = for_duckdb(f"""WITH knots AS (SELECT * FROM ({KNOTS_SQL}) x), g AS (SELECT lead, p FROM {{v_pred}} GROUP BY lead, p),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 EPOCH_US = 1704067200000000
+#: An event: so many ten-minute cycles of the views' clock.
+EVENT_CYCLES = 36
 MODALITIES = {"view": "radar", "click": "satellite", "purchase": "lightning", "signup": "surface", "error": "model"}
 
 
@@ -53,8 +55,7 @@ def v_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast probabilities with outcomes and baselines, by run and lead."""
     l, p = table(spark, sf_dir, "lineitem"), (F.col("l_quantity") - 0.5) / 50
-    uncal = F.when(p >= 0.45, F.least(F.lit(0.97), p**0.5)).otherwise(F.greatest(F.lit(0.02), p**1.8))
-    return l.select((F.col("l_orderkey") % 4).alias("run"), (p * 0.75).alias("p_advection"), uncal.alias("p_uncal"), (15 * (1 + F.col("l_linenumber") % 4)).cast("int").alias("lead"), ((F.col("l_quantity") - 0.5) / 50).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") * 10).alias("p_climo"), (F.col("l_tax") * 10).alias("p_nwp"))
+    return l.select((F.col("l_orderkey") % 4).alias("run"), (15 * (1 + F.col("l_linenumber") % 4)).cast("int").alias("lead"), ((F.col("l_quantity") - 0.5) / 50).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") * 10).alias("p_climo"), (F.col("l_tax") * 10).alias("p_nwp"))
 
 
 def v_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ DUCK = {
     "v_pix": "SELECT CAST(floor((us - 1704067200000000) / 86400000000) AS INT) AS frame, i, j, max(value) AS value FROM v_obs GROUP BY ALL",
     "v_storm": "SELECT cycle, i, j, max(value) AS intensity, max(lat) AS lat, max(lon) AS lon FROM v_obs WHERE modality = 'radar' GROUP BY cycle, i, j HAVING max(value) >= 74",
     "v_cell": "SELECT user_id AS track, CAST(floor((us - 1704067200000000) / 21600000000) AS BIGINT) AS b, avg(lat) AS lat, avg(lon) AS lon, max(value) AS intensity, count(*) AS area FROM v_obs GROUP BY ALL",
-    "v_pred": "SELECT l_orderkey % 4 AS run, CAST(15 * (1 + l_linenumber % 4) AS INT) AS lead, p, CAST(l_returnflag = 'R' AS INT) AS y, l_discount * 10 AS p_climo, l_tax * 10 AS p_nwp, p * 0.75::DOUBLE AS p_advection, CASE WHEN p >= 0.45::DOUBLE THEN least(0.97::DOUBLE, pow(p, 0.5)) ELSE greatest(0.02::DOUBLE, pow(p, 1.8)) END AS p_uncal FROM (SELECT *, (l_quantity - 0.5::DOUBLE) / 50 AS p FROM lineitem)",
+    "v_pred": "SELECT l_orderkey % 4 AS run, CAST(15 * (1 + l_linenumber % 4) AS INT) AS lead, p, CAST(l_returnflag = 'R' AS INT) AS y, l_discount * 10 AS p_climo, l_tax * 10 AS p_nwp FROM (SELECT *, (l_quantity - 0.5::DOUBLE) / 50 AS p FROM lineitem)",
     "v_block": """SELECT s_suppkey, r_name AS state, n_name AS district, s_name AS block, lat + shift AS lat0, lat + shift + 0.1::DOUBLE AS lat1, lon + shift AS lon0, lon + shift + 0.1::DOUBLE AS lon1, CAST(trunc(abs(s_acctbal) * 100) AS BIGINT) AS population
       FROM (SELECT *, 24.0::DOUBLE + 0.4::DOUBLE * (n_nationkey // 5) AS lat, 84.0::DOUBLE + 0.4::DOUBLE * (n_nationkey % 5) AS lon, (s_suppkey % 4) * 0.1::DOUBLE AS shift FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "v_alert": "SELECT o_orderkey, o_custkey AS cell, epoch_us(o_orderdate) / 60000000 AS minute, least(o_totalprice / 5e5, 1.0::DOUBLE) AS p, CASE WHEN o_orderpriority LIKE '1%' THEN 'protective' ELSE 'operational' END AS preset FROM orders",
