@@ -4,7 +4,7 @@ Candidate spans of each kind come from patterns. Labelers (regular expression, g
 edges) vote yes, no or nothing on each. How often each pattern of votes occurs, a table whose size
 is bounded by kinds and labelers, goes into expectation-maximisation: it estimates each labeler's
 reliability and each pattern's probability of being personal. Those train the span classifier, a
-sum of weights for votes and length. Base spans stay whatever it says; others need its yes.
+sum of weights for votes and length. A candidate's context is what stands before it, up to the candidate of its kind before and 40 characters. Base spans stay whatever it says; others need its yes.
 
 Defined results: a null or empty text has no spans; rows repeat as they are; a null doc_id is kept.
 """
@@ -48,22 +48,55 @@ CUES = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|call|mobile|fax|ip|host|address
 ANTICUES = r"(?i)\b(?:version|ver|v|order|sku|isbn|item|page|figure|section|total)[ .:#]{0,3}$"
 
 
+PLACES = "array<struct<start:bigint,value:string,before:string,after:string>>"
+
+
+def held(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def placed(pairs: Column) -> Column:
+    """array of (start, value, before, after) from (m: a match, p and a: what stands between it and the matches around it), in code points from 0.
+
+    Sums run within blocks of about the square root of the number of matches, from each block's own start, so
+    that no long array is copied for every match.
+    """
+
+    def size(x: Column) -> Column:
+        return (F.length(x["p"]) + F.length(x["m"])).cast("long")
+
+    def of_block(block: Column, start: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(start.alias("at"), F.array().cast(PLACES).alias("out")),
+            lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"])).alias("start"), x["m"].alias("value"), F.substring(x["p"], -40, 40).alias("before"), F.substring(x["a"], 1, 1).alias("after")))).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def all_blocks(blocks: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        sums = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda acc, x: acc + size(x)))
+        starts = F.aggregate(sums, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, of_block))
+
+    def in_blocks(xs: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda k: F.slice(xs, k * width + 1, width))
+        return F.when(F.size(xs) == 0, F.array().cast(PLACES)).otherwise(held(blocks, all_blocks))
+
+    return held(pairs, in_blocks)
+
+
 def matches(text: Column, kind: str) -> Column:
-    """array of (start, value) of the pattern's matches, in code points from 0."""
-    pattern = F.lit(PATTERNS[kind])
-    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    places = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("p")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).cast("long").alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"])).cast("long").alias("start"), x["m"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    none = F.array().cast("array<struct<start:bigint,value:string>>")
+    """array of (start, value, before, after) of the pattern's matches: code points from 0, up to 40 characters since the match before, and the next one."""
+
+    def with_gaps(found: Column) -> Column:
+        return held(F.split(text, PATTERNS[kind], -1), lambda gaps: F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("p"), F.slice(gaps, F.lit(2), F.size(found)).alias("a")))
+
+    pairs = held(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), with_gaps)
     worth = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]") if kind != "name" else text.contains(" ")
-    return F.when(worth, places).otherwise(none)
+    return F.when(worth, placed(pairs)).otherwise(F.array().cast(PLACES))
 
 
 def digits(value: Column) -> Column:
@@ -109,8 +142,7 @@ def candidates(text: Column) -> Column:
 
         def span(x: Column) -> Column:
             value, size = x["value"], F.length(x["value"])
-            before = F.substring(text, F.greatest(x["start"] - 39, F.lit(1)).cast("int"), F.least(x["start"], F.lit(40)).cast("int"))
-            after = F.substring(text, (x["start"] + size + 1).cast("int"), F.lit(1))
+            before, after = x["before"], x["after"]
             inside = F.substring(before, -1, 1).rlike(r"[\p{L}\p{N}_/]") | after.rlike(r"[\p{L}\p{N}_/]")
             strict = {"email": value.rlike(r"^[A-Za-z0-9][^@]*@[^.@]+\..*[A-Za-z]{2,}$"), "name": size > 8}.get(kind, F.length(digits(value)) > 3)
             return F.struct(

@@ -58,6 +58,15 @@ def plain_personal(text):
     return ",".join(x for _, _, x in sorted(found))
 
 
+def test_personal_of_many_matches(spark):
+    """A text of 100,000 numbers, and one of 3,000 cards: places by blocks are the plain ones."""
+    texts = ["\n".join(str(1000000 + i) for i in range(100000)), "\n".join(("4111111111111111", "é 4111111111111112")[i % 5 == 0] for i in range(3000))]
+    got = {r["doc_id"]: r for r in personal.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got[0]["spans"] == "" and got[1]["n_card"] == 2400
+    for i, t in enumerate(texts):
+        assert got[i]["base_sha256"] == hashlib.sha256(plain_personal(t).encode()).hexdigest()
+
+
 def test_personal_base_spans(spark):
     rng = random.Random(4)
     bits = ["a.b@c.de", "@", "x-y.z", " ", "10.0.0.1", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 555-0100", "+49", "12", "-", ".", "é", "\n", "Dr. Anna Smith ", "0025", "(", ")", "123-45-6789"]

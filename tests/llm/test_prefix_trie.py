@@ -56,7 +56,7 @@ def test_as_plain(spark, seed):
     assert got(prefix_trie.plain_trie(df)) == plain(rows, borrow=False)
 
 
-def test_long_chain_and_wide_node(spark):
+def test_long_chain_and_wide_node(spark, many_ranges):
     """One conversation of 300 turns, copies of its first 150, and a root with many leaves."""
     rows = [(0, t, "user", f"t{t}") for t in range(300)] + [(k, t, "user", f"t{t}") for k in (7, 9) for t in range(150)] + [(100 + k, 0, "user", f"leaf {k}") for k in range(200)]
     df = spark.createDataFrame(rows, SCHEMA)
