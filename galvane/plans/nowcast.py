@@ -116,23 +116,28 @@ c AS (SELECT c.cycle, c.i, c.j, k, coalesce(f.n, 0) AS n FROM {v_storm} c CROSS
 h AS (SELECT cycle, i, j, avg(CASE WHEN k < 8 THEN n END) AS mu, stddev_pop(CASE WHEN k < 8 THEN n END) AS sd, min(CASE WHEN k >= 8 THEN n END) AS low, sum(CASE WHEN k >= 8 THEN n END) AS recent FROM c GROUP BY cycle, i, j)
 SELECT cycle, i, j, round(mu, 6) AS mu, round(sd, 6) AS sd, CAST(recent AS BIGINT) AS recent, CASE WHEN mu = 0 AND sd = 0 THEN CASE WHEN recent >= 6 THEN 1 ELSE 0 END WHEN low > mu + 2 * sd THEN 1 ELSE 0 END AS jump FROM h""")
 
-# Smoothing by two passes of a separable box of five with edge pixels repeated (a constant passes through unchanged).
-def smoothed(source: str) -> str:
-    """Tables a1, b1, a2 and b2, the result: the values v of source (frame, i, j, v) smoothed; o holds the offsets."""
-    steps, before = [], source
-    for name, axis in (("a1", "i"), ("b1", "j"), ("a2", "i"), ("b2", "j")):
-        rest = "j" if axis == "i" else "i"
-        steps.append(f"{name} AS (SELECT p.frame, p.i, p.j, sum(q.v) / 5 AS v FROM (SELECT frame, i, j, least(greatest({axis} + o, 0), 9) AS at FROM {before}, o) p JOIN {before} q ON q.frame = p.frame AND q.{axis} = p.at AND q.{rest} = p.{rest} GROUP BY p.frame, p.i, p.j)")
-        before = name
-    return ",\n".join(steps)
-
-
-BLUR = "o AS (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) AS t(o)), px AS (SELECT frame, i, j, value AS v FROM {v_pix}),\n" + smoothed("px")
+# Smoothing by two passes of a separable box, edge pixels repeated. Passes along an axis are one table of weights from pixel s to pixel t.
+def weights(radius: int, size: int = 10) -> list[tuple[int, int, int]]:
+    """(s, t, how often s counts for t in two passes of a box of 2 radius + 1)."""
+    once = [[sum(min(max(t + o, 0), size - 1) == s for o in range(-radius, radius + 1)) for t in range(size)] for s in range(size)]
+    twice = [[sum(once[s][m] * once[m][t] for m in range(size)) for t in range(size)] for s in range(size)]
+    return [(s, t, w) for s, row in enumerate(twice) for t, w in enumerate(row) if w]
+
+
+def smoothed(source: str, key: str = "frame", radius: int = 2, out: str = "b2") -> str:
+    """The table out: the values v of source (key, i, j, v) smoothed; pixels that are absent count 0."""
+    table = ", ".join(map(str, weights(radius)))
+    n = (2 * radius + 1) ** 2
+    return f"""{out}_k AS (SELECT * FROM (VALUES {table}) AS t(s, t, w)), {out}_i AS (SELECT {key}, t AS i, j, sum(v * w) / {n} AS v FROM {source} JOIN {out}_k ON s = i GROUP BY {key}, t, j),
+{out} AS (SELECT {key}, i, t AS j, sum(v * w) / {n} AS v FROM {out}_i JOIN {out}_k ON s = j GROUP BY {key}, i, t)"""
+
+
+BLUR = "px AS (SELECT frame, i, j, value AS v FROM {v_pix}),\n" + smoothed("px")
 relational("gaussian_smooth", f"WITH {BLUR} SELECT frame, i, j, round(v, 6) AS smooth FROM b2")
 
 # of every pixel of a frame (one without a value has none): doubt, lead, edges and missing sources, smoothed, then clipped.
 relational("uncertainty_terms", f"""
-WITH leads AS (SELECT * FROM (VALUES (15), (30), (45), (60)) AS t(lead)), line AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(k)), o AS (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) AS t(o)),
+WITH leads AS (SELECT * FROM (VALUES (15), (30), (45), (60)) AS t(lead)), line AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(k)),
 s AS (SELECT CAST(floor(cycle / 6) AS INT) AS frame, 0.2D * (1 - max(CASE WHEN modality = 'radar' THEN 1 ELSE 0 END)) + 0.25D * (1 - max(CASE WHEN modality = 'satellite' THEN 1 ELSE 0 END)) + 0.15D * (1 - max(CASE WHEN modality = 'model' THEN 1 ELSE 0 END)) AS sensors FROM {{v_obs}} GROUP BY 1),
 g AS (SELECT f.frame, a.k AS i, b.k AS j, least(coalesce(p.value, 0D) / 500, 1D) AS p, least(coalesce(s.sensors, 0.6D), 1D) AS sensors FROM (SELECT DISTINCT frame FROM {{v_pix}}) f CROSS JOIN line a CROSS JOIN line b LEFT JOIN {{v_pix}} p ON p.frame = f.frame AND p.i = a.k AND p.j = b.k LEFT JOIN s ON s.frame = f.frame),
 x AS (SELECT frame, i, j, 0.45D * 4 * p * (1 - p) + 0.15D * CASE WHEN i IN (0, 9) OR j IN (0, 9) THEN 0.2D ELSE 0D END + 0.1D * sensors AS v FROM g),
