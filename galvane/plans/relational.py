@@ -35,8 +35,8 @@ def relational(name: str, text: str) -> None:
 
 
 # A flash is sent to the cycles whose windows can hold it: an equi-join on the cycle, then the box.
-PAST = "past AS (SELECT f.*, f.cycle + 0 AS at FROM {v_flash} f UNION ALL SELECT f.*, f.cycle + 1 FROM {v_flash} f UNION ALL SELECT f.*, f.cycle + 2 FROM {v_flash} f)"
-NEXT = "ahead AS (SELECT f.*, f.cycle - 1 AS at FROM {v_flash} f UNION ALL SELECT f.*, f.cycle - 2 FROM {v_flash} f UNION ALL SELECT f.*, f.cycle - 3 FROM {v_flash} f)"
+PAST = "past AS (SELECT f.*, f.cycle + t.o AS at FROM {v_flash} f CROSS JOIN (VALUES (0), (1), (2)) AS t(o))"
+NEXT = "ahead AS (SELECT f.*, f.cycle - t.o AS at FROM {v_flash} f CROSS JOIN (VALUES (1), (2), (3)) AS t(o))"
 COUNTS = f"""counts AS (SELECT c.cycle, c.i, c.j, c.intensity, CAST(coalesce(sum(f.strokes) FILTER (WHERE f.cycle = c.cycle), 0) AS BIGINT) AS f10, CAST(coalesce(sum(f.strokes) FILTER (WHERE f.cycle >= c.cycle - 1), 0) AS BIGINT) AS f20, CAST(coalesce(sum(f.strokes), 0) AS BIGINT) AS f30
   FROM {{v_storm}} c LEFT JOIN past f ON f.at = c.cycle AND {BOX.format(r="12.0D")} GROUP BY c.cycle, c.i, c.j, c.intensity)"""
 LABELS = f"""labels AS (SELECT c.cycle, c.i, c.j, CAST(count(f.event_id) > 0 AS INT) AS y FROM {{v_storm}} c LEFT JOIN ahead f ON f.at = c.cycle AND {BOX.format(r="5.0D")} GROUP BY c.cycle, c.i, c.j)"""
@@ -46,16 +46,12 @@ relational("flash_counts_10_20_30", f"WITH {PAST}, {COUNTS} SELECT * FROM counts
 relational("flash_exists_label", f"WITH {NEXT}, {LABELS} SELECT * FROM labels")
 relational("lightning_jump", f"WITH {PAST}, {COUNTS}, {JUMP} SELECT cycle, i, j, f10, f30, jump FROM jumps")
 relational("poisson_persistence", f"WITH {PAST}, {COUNTS} SELECT cycle, i, j, f10, round(1 - exp(-(f10 / 10.0D) * 30), 6) AS p30, round(1 - exp(-(f10 / 10.0D) * 60), 6) AS p60 FROM counts")
-relational("nowcast_verification", f"""WITH {PAST}, {NEXT}, {COUNTS}, {LABELS}, {JUMP},
-samples AS (SELECT j.jump, 1 - exp(-(j.f10 / 10.0D) * 30) AS p, l.y FROM jumps j JOIN labels l ON j.cycle = l.cycle AND j.i = l.i AND j.j = l.j)
+# Counts and label of a storm from one pass over storms and flashes: those before it and in it (o >= 0) and those after it.
+AROUND = f"""around AS (SELECT f.*, f.cycle + t.o AS at, t.o FROM {{v_flash}} f CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2)) AS t(o)),
+counts AS (SELECT c.cycle, c.i, c.j, c.intensity, CAST(coalesce(sum(f.strokes) FILTER (WHERE f.o = 0), 0) AS BIGINT) AS f10, CAST(coalesce(sum(f.strokes) FILTER (WHERE f.o >= 0), 0) AS BIGINT) AS f30,
+  max(CASE WHEN f.o < 0 AND {BOX.format(r="5.0D")} THEN 1 ELSE 0 END) AS y FROM {{v_storm}} c LEFT JOIN around f ON f.at = c.cycle AND {BOX.format(r="12.0D")} GROUP BY c.cycle, c.i, c.j, c.intensity)"""
+relational("nowcast_verification", f"""WITH {AROUND}, {JUMP}, samples AS (SELECT jump, 1 - exp(-(f10 / 10.0D) * 30) AS p, y FROM jumps)
 SELECT count(*) AS n, coalesce(sum(jump), 0) AS jumps, count(*) FILTER (WHERE p >= 0.35D AND y = 1) AS hits, count(*) FILTER (WHERE p < 0.35D AND y = 1) AS misses, count(*) FILTER (WHERE p >= 0.35D AND y = 0) AS false_alarms, count(*) FILTER (WHERE p < 0.35D AND y = 0) AS correct_negatives, round(avg((p - y) * (p - y)), 6) AS brier FROM samples""")
-# Pairs (forecast, lead) that an earlier run has settled stay settled; of the rest those that are mature are labelled.
-relational("settle_anti", f"""WITH leads AS (SELECT * FROM (VALUES (10), (20), (30)) AS t(lead)), now AS (SELECT max(cycle) AS top FROM {{v_obs}}),
-issued AS (SELECT DISTINCT cycle, lead, CAST(cycle AS BIGINT) * 100 + lead AS pair FROM {{v_storm}}, leads),
-settled AS (SELECT pair FROM issued, now WHERE (cycle + lead / 10) * 2 <= top),
-flashed AS (SELECT DISTINCT c.cycle, f.cycle - c.cycle AS after FROM {{v_storm}} c JOIN (SELECT *, cycle - 1 AS at FROM {{v_flash}} UNION ALL SELECT *, cycle - 2 FROM {{v_flash}} UNION ALL SELECT *, cycle - 3 FROM {{v_flash}}) f ON f.at = c.cycle AND {BOX.format(r="12.0D")})
-SELECT i.cycle, i.lead, max(CASE WHEN f.after * 10 <= i.lead THEN 1 ELSE 0 END) AS y FROM issued i JOIN now ON i.cycle + i.lead / 10 <= top LEFT JOIN flashed f ON f.cycle = i.cycle
-WHERE NOT EXISTS (SELECT 1 FROM settled s WHERE s.pair = i.pair) GROUP BY i.cycle, i.lead""")
 IN_GRID = "lat BETWEEN 25.05D AND 26.05D AND lon BETWEEN 83.95D AND 84.95D"
 relational("grid_index", f"SELECT event_id, CASE WHEN {IN_GRID} THEN CAST(bround((lat - 26.0D) / -0.1D, 0) AS INT) END AS row_i, CASE WHEN {IN_GRID} THEN CAST(bround((lon - 84.0D) / 0.1D, 0) AS INT) END AS col_j FROM (SELECT event_id, lat + (event_id % 11 - 5) * 0.05D AS lat, lon + (event_id % 13 - 6) * 0.04D AS lon FROM {{v_obs}}) o")
 relational("haversine", "SELECT event_id, round(2 * 6371.0088D * asin(sqrt(pow(sin(radians(lat - 25.6D) / 2), 2) + cos(radians(25.6D)) * cos(radians(lat)) * pow(sin(radians(lon - 84.5D) / 2), 2))), 6) AS km FROM {v_obs}")

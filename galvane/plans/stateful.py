@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from galvane.operators import kernels, tiles
-from galvane.operators.ranks import stored
+from galvane.operators.ranks import shared_folder, stored
 from galvane.plans.catalog import QUERIES, SQL, query
 from galvane.plans.nowcast import CRITERIA, SCORED
 from galvane.plans.ranked import isotonic_knots
 from galvane.plans.relational import BOX, COUNTS, HIT, JUMP, OVERLAP, PAST, duck_words, for_duckdb
-from galvane.sources import views
+from galvane.sources import store, views
 from galvane.streaming import settlement
 
 def cc_sql(mask: str, near: str = "abs(m.i - r.i) + abs(m.j - r.j) = 1") -> str:
@@ -234,6 +237,46 @@ def event_time_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mature.select((F.unix_micros("issued") / settlement.CYCLE_US - 1).cast("long").alias("cycle"), "i", "j", "lead", "y")
 
 
+SETTLE_SQL = f"SELECT cycle, i, j, lead, y FROM ({SETTLED_SQL}) q WHERE (cycle + 1) * 600 + lead * 60 > (SELECT max({CLOCK}) FROM ({for_duckdb('SELECT * FROM {v_obs}')}) o) / 2000000"
+
+
+@query("settle_anti", SETTLE_SQL)
+def settle_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the first half of the time puts what it settles in the store; the next one settles what is mature and not there."""
+    storms, flashes, now = settlement_inputs(spark, sf_dir)
+    every = settlement.settled(storms, flashes).select((F.unix_micros("issued") / settlement.CYCLE_US - 1).cast("long").alias("cycle"), "i", "j", "lead", "y", F.unix_micros("due").alias("due"))
+    top = now.select(F.unix_micros("now").alias("top"))
+    root = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    store.append(every.where(F.col("due") <= F.floor(top.scalar() / 2)).select(F.lit("first").alias("run_id"), F.lit(1).alias("version"), "cycle", "i", "j", "lead", "y"), root, "settlements")
+    done = store.scan(spark, root, "settlements").select("cycle", "i", "j", "lead")
+    return every.where(F.col("due") <= top.scalar()).join(done, ["cycle", "i", "j", "lead"], "left_anti").drop("due")
+
+
+IDS_SQL = f"""WITH RECURSIVE t AS (SELECT frame, i, j, i * 10 + j AS pixel, prev FROM ({SQL['initiation_tracking']}) q),
+r AS (SELECT frame, i, j, pixel, frame * 100 + pixel AS first FROM t WHERE prev IS NULL UNION ALL SELECT t.frame, t.i, t.j, t.pixel, r.first FROM r JOIN t ON t.frame = r.frame + 1 AND t.prev = r.pixel)
+SELECT frame, i, j, CAST(first AS BIGINT) AS first FROM r"""
+
+
+def lines(steps: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """node, first: the beginning of each node's line, of steps (node, prev; null: a beginning). Pointers double, so rounds are the logarithm of the longest line."""
+    open_ = store(steps.select("node", F.coalesce("prev", "node").alias("first"), F.col("prev").isNull().alias("done")))
+    while not open_.where("NOT done").isEmpty():
+        ahead = open_.select(F.col("node").alias("first"), F.col("first").alias("then"), F.col("done").alias("ended"))
+        open_ = store(open_.join(ahead, "first").select("node", F.when(F.col("done"), F.col("first")).otherwise(F.col("then")).alias("first"), (F.col("done") | F.col("ended")).alias("done")))
+    return open_.select("node", "first")
+
+
+@query("initiation_ids", IDS_SQL)
+def initiation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate with the first of its line, whose id it inherits."""
+    t = QUERIES["initiation_tracking"](spark, sf_dir)
+    node = lambda frame, pixel: frame.cast("long") * 100 + pixel
+    steps = t.select(node(F.col("frame"), F.col("i") * 10 + F.col("j")).alias("node"), node(F.col("frame") - 1, F.col("prev")).alias("prev"))
+    found = lines(steps)
+    pixel = F.col("node") % 100
+    return found.select(F.floor(F.col("node") / 100).cast("int").alias("frame"), F.floor(pixel / 10).cast("int").alias("i"), (pixel % 10).cast("int").alias("j"), "first")
+
+
 @query("training_samples", f"SELECT c.cycle, c.i, c.j, c.intensity, c.f10, c.f20, c.f30, s.lead, s.y AS label FROM ({SQL['flash_counts_10_20_30']}) c JOIN ({SETTLED_SQL}) s ON s.cycle = c.cycle AND s.i = c.i AND s.j = c.j")
 def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of each storm cell at issue with its settled label by lead; store.append keeps them by run."""

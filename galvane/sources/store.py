@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: The key of each table's rows within a run.
-KEYS = {"forecasts": ["cell", "lead"], "alerts": ["alert_id"], "health": ["modality"], "samples": ["issued", "cell", "lead"]}
+KEYS = {"forecasts": ["cell", "lead"], "alerts": ["alert_id"], "health": ["modality"], "samples": ["issued", "cell", "lead"], "settlements": ["cycle", "i", "j", "lead"]}
 
 
 def append(rows: DataFrame, root: str, table: str) -> None:
