@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from galvane.plans import catalog, nowcast, products, relational, stateful  # noqa: F401
-from galvane.sources import views
+from galvane.operators import polygons
+from galvane.plans import baselines as _models, bulletins, catalog, fields, geometry, kinematics, nested, nowcast, products, ranked, relational, stateful  # noqa: F401
+from galvane.sources import documents, frames, views
 
 
 def _asked(name: str, spark: SparkSession, sf_dir: str, /, **filters: object) -> DataFrame:
@@ -39,11 +40,9 @@ def alerts(spark: SparkSession, sf_dir: str, event: int | None = None, preset: s
 
 
 def bulletin(spark: SparkSession, sf_dir: str, cycle: int) -> DataFrame:
-    """Alerts valid at a cycle (60 minutes): by preset, the regions in order of first sight, people and the highest stage."""
-    live = alerts(spark, sf_dir).where(F.col("minute").between(cycle * 10 - 60, cycle * 10))
-    first = live.groupBy("preset", "region").agg(F.min(F.struct("minute", "id")).alias("at"), F.sum("exposed").alias("exposed"), F.max("stage").alias("stage"), F.count("*").alias("n"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "region"))), lambda x: x["region"])
-    return first.groupBy("preset").agg(listed.alias("regions"), F.sum("n").alias("alerts"), F.sum("exposed").alias("exposed"), F.max("stage").alias("stage"))
+    """The bulletin of each preset at a cycle: alerts valid then (60 minutes), regions in order of first sight, people, rung and confidence."""
+    t = spark.range(1).select(F.lit(float(cycle * 10)).alias("t"))
+    return bulletins.bulletin_at(alerts(spark, sf_dir), t, catalog.QUERIES["router_rung"](spark, sf_dir))
 
 
 def cells(spark: SparkSession, sf_dir: str, cycle: int | None = None) -> DataFrame:
@@ -81,5 +80,82 @@ def blocks(spark: SparkSession, sf_dir: str, district: str | None = None) -> Dat
     return out if district is None else out.where(F.lower("district") == district.lower())
 
 
-def cap(spark: SparkSession, sf_dir: str, order: int | None = None) -> DataFrame:
-    return _asked("cap_full", spark, sf_dir, o_orderkey=order)
+def cap(spark: SparkSession, sf_dir: str, event: int | None = None, preset: str | None = None, id: int | None = None) -> DataFrame:
+    """Messages, of an event, a preset or one alert."""
+    return _asked("cap_full", spark, sf_dir, event=event, preset=preset, id=id)
+
+
+def message_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages that went out with what is wrong with them, if anything is."""
+    return bulletins.faults(cap(spark, sf_dir)).where("faults <> ''")
+
+
+def tracks(spark: SparkSession, sf_dir: str, track: int | None = None, least_kmh: float = 0.0) -> DataFrame:
+    return _asked("kalman_tracks", spark, sf_dir, track=track).where(F.col("velocity_kmh") >= least_kmh)
+
+
+def path(spark: SparkSession, sf_dir: str, track: int | None = None, lead: int | None = None) -> DataFrame:
+    return _asked("kalman_path", spark, sf_dir, track=track, lead=lead)
+
+
+def cone(spark: SparkSession, sf_dir: str, track: int | None = None) -> DataFrame:
+    return _asked("kalman_cone", spark, sf_dir, track=track)
+
+
+def impacts(spark: SparkSession, sf_dir: str, cycle: int | None = None, district: str | None = None) -> DataFrame:
+    """Blocks under storms with the covered part and people, the most covered first."""
+    return _asked("polygon_overlap", spark, sf_dir, cycle=cycle, district=district).orderBy("cycle", "i", "j", F.desc("overlap_fraction"), "s_suppkey")
+
+
+def blocks_in_box(spark: SparkSession, sf_dir: str, west: float, south: float, east: float, north: float) -> DataFrame:
+    box = spark.createDataFrame([(west, south, east, north)], "x0 double, y0 double, x1 double, y1 double")
+    return polygons.meetings(box, geometry.regions(spark, sf_dir)).select("region.s_suppkey", "region.state", "region.district", "region.block", "region.population")
+
+
+def blocks_at(spark: SparkSession, sf_dir: str, lat: float, lon: float) -> DataFrame:
+    """Blocks whose polygon holds a point."""
+    return geometry.regions(spark, sf_dir).where(polygons.holds(F.col("ring"), F.lit(lon), F.lit(lat))).drop("ring")
+
+
+def admin_geojson(spark: SparkSession, sf_dir: str, district: str | None = None) -> DataFrame:
+    """A FeatureCollection for each district."""
+    regions = geometry.regions(spark, sf_dir)
+    return documents.collections(regions if district is None else regions.where(F.lower("district") == district.lower()), "district")
+
+
+def cases(spark: SparkSession, sf_dir: str, event: int | None = None) -> DataFrame:
+    return _asked("case_studies", spark, sf_dir, event_id=event)
+
+
+def case_bundle(spark: SparkSession, sf_dir: str, event: int) -> DataFrame:
+    return nested.case_bundles(spark, sf_dir).where(F.col("event_id") == event)
+
+
+def probability(spark: SparkSession, sf_dir: str, cycle: int | None = None, lead: int = 30) -> DataFrame:
+    """The probability field at 30 minutes, or beyond an hour at 90 or 120."""
+    return _asked("probability_field", spark, sf_dir, cycle=cycle) if lead == 30 else _asked("lagrangian_120", spark, sf_dir, cycle=cycle, lead=lead)
+
+
+def uncertainty(spark: SparkSession, sf_dir: str, frame: int | None = None, lead: int | None = None) -> DataFrame:
+    return _asked("uncertainty_terms", spark, sf_dir, frame=frame, lead=lead)
+
+
+def plumes(spark: SparkSession, sf_dir: str, frame: int | None = None, lead: int | None = None) -> DataFrame:
+    return _asked("initiation_plumes", spark, sf_dir, frame=frame, lead=lead)
+
+
+def climate(spark: SparkSession, sf_dir: str, modality: str | None = None) -> DataFrame:
+    return _asked("percentiles", spark, sf_dir, modality=modality)
+
+
+def history(spark: SparkSession, path: str, t, minutes: float) -> DataFrame:
+    """Observations of an event table in (t - minutes, t], through the data source."""
+    return frames.history(frames.frames(spark, path), t, minutes)
+
+
+def rings(spark: SparkSession, sf_dir: str, station: int | None = None) -> DataFrame:
+    return _asked("range_rings", spark, sf_dir, station=station)
+
+
+def settlements(spark: SparkSession, sf_dir: str, lead: int | None = None) -> DataFrame:
+    return _asked("event_time_settlement", spark, sf_dir, lead=lead)

@@ -109,8 +109,21 @@ def test_query_functions(spark):
     assert api.runs(spark, SF).count() == 4 and api.scoreboard(spark, SF, run=1, lead=30).count() == 1
     some = api.alerts(spark, SF, preset="Protective")
     assert {r["preset"] for r in some.collect()} <= {"protective"} and api.alerts(spark, SF, region="no such").count() == 0
-    assert api.bulletin(spark, SF, 40).columns == ["preset", "regions", "alerts", "exposed", "stage"]
-    assert api.data_health(spark, SF, "radar").count() == 1 and api.baselines(spark, SF, "fusion").count() == 1
+    assert api.bulletin(spark, SF, 40).columns == ["preset", "headline", "issue_time_utc", "issue_time_ist", "valid_until_ist", "regions", "alerts", "people", "rung", "confidence"]
+    assert api.data_health(spark, SF, "radar").count() == 1 and api.baselines(spark, SF, "uncalibrated_trees").count() == 1
     assert api.blocks(spark, SF, "no such").count() == 0 and api.initiation(spark, SF, least_p=0.5).where("p < 0.5").count() == 0
     assert api.flashes(spark, SF, 0, 0).count() == 0 and api.nwp_indices(spark, SF, 1).count() <= 1
     assert api.cells(spark, SF).count() >= 0 and api.field(spark, SF).columns and api.cap(spark, SF, -1).count() == 0 and api.model_health(spark, SF, 1).count() == 4
+
+
+def test_more_query_functions(spark):
+    first = api.tracks(spark, SF).orderBy("track", "b").first()
+    assert api.path(spark, SF, track=first["track"], lead=60).count() == api.tracks(spark, SF, track=first["track"]).count()
+    inside = api.blocks_in_box(spark, SF, 80.0, 20.0, 90.0, 30.0)
+    assert inside.count() == api.blocks(spark, SF).count() and api.blocks_in_box(spark, SF, 0.0, 0.0, 1.0, 1.0).count() == 0
+    one = api.cases(spark, SF).orderBy("event_id").first()
+    assert api.case_bundle(spark, SF, one["event_id"]).count() == 1
+    assert api.cap(spark, SF, preset="protective").columns == ["event", "preset", "id", "xml"] and api.message_faults(spark, SF).count() == 0
+    assert api.probability(spark, SF, lead=90).where("lead <> 90").count() == 0 and api.climate(spark, SF, "radar").count() == 1
+    district = api.blocks(spark, SF).first()["district"]
+    assert [r["district"] for r in api.admin_geojson(spark, SF, district.lower()).collect()] == [district]
