@@ -6,6 +6,13 @@ them. A literal is scored by how sensitive the name is that it ends up in and by
 literals of that expression together. A literal that a base span covers in part has a span of its own, so
 both are masked. Blanks around operators, line breaks after + (and before one
 that is indented), names, literals of an expression and chains of constants have no limit of number.
+Besides operators, these pair a name with a literal: a setter's call (setPassword("..."), .password("...")), a call
+with a name and a value (put("db.password", "...")), an element (<pwd>...</pwd>) and an authorization header
+(Authorization: Bearer ...). Quotes are ", ' and `.
+
+A literal of fewer than 8 characters, a placeholder (none, changeme, your..., ${...}) or one with blanks has
+no score; under names of phrases (PHRASES) blanks are allowed in three words or more. A name's weight and its
+literal's score of at most 1 together have to reach THRESHOLD, so weights lie above THRESHOLD - 1.
 
 Defined results: a null or empty text has no spans; rows repeat as they are; a null doc_id is
 kept; other columns, whatever their names, are not read. Each text is scanned whole, by itself.
@@ -31,17 +38,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: How much of a secret a name's part stands for.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "authorization": 0.7, "bearer": 0.7, "signature": 0.4, "salt": 0.4}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "authorization": 0.7, "bearer": 0.7, "signature": 0.6, "salt": 0.6, "mnemonic": 1.0}
 #: The same for two parts in a row.
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 0.9, ("signing", "key"): 0.9, ("account", "key"): 0.8, ("connection", "string"): 0.6}
+#: Names whose literals are words.
+PHRASES = {"passphrase", "mnemonic"}
+#: First parts of names of calls that take a secret, not give one.
+SETTERS = {"set", "with", "put", "use"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|change_me|example.*|your.*|dummy.*|sample.*|placeholder.*|todo.*|test|<.*>|\$\{?.*|%\(.*|\{\{.*)$")
 THRESHOLD = 1.5
 
 _OPERATOR = re.compile(r":=|=>|=|:")
 _WORD = string.ascii_letters + string.digits + "_.-"
-_TERM = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{([A-Za-z_][A-Za-z0-9_]*)\}|([^\s"'`,;(){}\[\]<>+]+))""")
-_PLUS = re.compile(r"[ \t]*+(?:\r?\n[ \t]++)?\+(?:[ \t]|\\?\r?\n)*+(?=[\"'$A-Za-z_])")
+_TERM = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`|\$\{([A-Za-z_][A-Za-z0-9_]*)\}|([^\s"'`,;(){}\[\]<>+]+))""")
+_PLUS = re.compile(r"[ \t]*+(?:\r?\n[ \t]++)?\+(?:[ \t]|\\?\r?\n)*+(?=[\"'`$A-Za-z_])")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_QUOTED = r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`)"""
+_CALL = re.compile(r"(?<![A-Za-z0-9_.])([A-Za-z_.][A-Za-z0-9_.]*+)\([ \t]*+" + _QUOTED + r"(?:[ \t]*+,[ \t]*+" + _QUOTED + r")?[ \t]*+\)")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>\n]++)</\1>")
+_HEADER = re.compile(r"""((?i:authorization))["'\]]*+[ \t]*+[:=,][ \t]*+["'`]?(?i:bearer|basic|token)\x20++([A-Za-z0-9+/_.~=-]++)""")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 
@@ -68,11 +83,11 @@ class Shape:
         return self.head if self.n <= 64 else self.head + "".join(self.counts) + self.last
 
 
-def literal_score(value: str | Shape) -> float:
-    """0 for prose and placeholders, towards 1 for long mixed strings."""
+def literal_score(value: str | Shape, phrase: bool = False) -> float:
+    """0 for prose (of a phrase: of fewer than three words) and placeholders, towards 1 for long mixed strings."""
     value = Shape(value) if isinstance(value, str) else value
     n, counts = value.n, value.counts
-    if n < 8 or " " in counts or PLACEHOLDER.match(value.sample()):
+    if n < 8 or " " in counts and not (phrase and counts[" "] >= 2) or PLACEHOLDER.match(value.sample()):
         return 0.0
     bits = -sum(p * math.log2(p) for k in counts.values() if (p := k / n))
     kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
@@ -111,7 +126,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
         while t := _TERM.match(text, pos):
             group = t.lastindex
             content = t[group]
-            literal = group in (1, 2) or group == 4 and not _IDENTIFIER.match(content)
+            literal = group in (1, 2, 3) or group == 5 and not _IDENTIFIER.match(content)
             terms.append((content, t.start(group), t.end(group), literal))
             pos = t.end()
             plus = _PLUS.match(text, pos)
@@ -123,12 +138,27 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
             yield name, terms
 
 
+def marked(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
+    """Pairs as in pairs(), of calls, elements and headers."""
+    if "(" in text:
+        for m in _CALL.finditer(text):
+            given = [k for k in range(2, 8) if m[k] is not None]
+            name, k = m[1].rsplit(".", 1)[-1], given[-1]
+            if len(given) == 2:
+                yield m[given[0]], [(m[k], m.start(k), m.end(k), True)]
+            elif (first := tuple(x.lower() for x in _PARTS.findall(name)[:2])) and (first[0] in SETTERS or first[0] in SENSITIVE or first in SENSITIVE_PAIRS):
+                yield name, [(m[k], m.start(k), m.end(k), True)]
+    if "</" in text:
+        yield from ((m[1], [(m[2], m.start(2), m.end(2), True)]) for m in _ELEMENT.finditer(text))
+    yield from ((m[1], [(m[2], m.start(2), m.end(2), True)]) for m in _HEADER.finditer(text))
+
+
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name."""
     nodes: list[tuple[list[tuple[int, int]], list[int]]] = []  # own literals, and constants as numbers of nodes before
     constants: dict[str, tuple[int, Shape]] = {}
     wanted: list[tuple[float, int]] = []
-    for name, terms in pairs(text):
+    for name, terms in sorted([*pairs(text), *marked(text)], key=lambda x: x[1][0][1]):
         own, used, shape = [], [], Shape()
         for content, start, end, literal in terms:
             if literal or content not in constants and len(terms) == 1 and any(c.isdigit() for c in content):
@@ -140,7 +170,7 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
         constants[name] = len(nodes), shape
         nodes.append((own, used))
         sensitive = name_score(name)
-        if sensitive and (own or used) and (score := sensitive + literal_score(shape)) >= THRESHOLD:
+        if sensitive and (own or used) and (score := sensitive + literal_score(shape, not PHRASES.isdisjoint(x.lower() for x in _PARTS.findall(name)))) >= THRESHOLD:
             wanted.append((score, len(nodes) - 1))
     found: dict[tuple[int, int], float] = {}
     visited: set[int] = set()
@@ -170,7 +200,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     base.sort(key=by)
     starts, ends = [s for _, s, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
     inside = lambda a, b: (k := bisect.bisect_right(starts, a)) and ends[k - 1] >= b  # noqa: E731  of base spans
-    more = [("lex", a, b) for a, b, _ in lexed(text) if not inside(a, b)] if pair else []
+    more = [("lex", a, b) for a, b, _ in lexed(text) if not inside(a, b)] if pair or "(" in text or "</" in text else []
     return base, sorted(base + more, key=by)
 
 
